@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_output
+from . import minhash, packing, token_output
 from .shared import ship
 
 
@@ -20,13 +20,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates among all documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 places."""
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op5_packing": op5_packing}
+    return {"op2_token_files": op2_token_files, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing}
 
 
 def oracle_sql() -> dict[str, str]:
