@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, token_output
+from . import decontaminate, licenses, line_dedup, minhash, packing, token_output
 from .shared import ship
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that stand on many sources."""
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as coded blocks and read back."""
     return token_output.token_files(_table(spark, sf_dir, "documents"))
@@ -25,14 +30,35 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in all documents."""
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 places."""
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among all documents and their lines."""
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_files": op2_token_files, "op3_near_duplicates": op3_near_duplicates, "op5_packing": op5_packing}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op2_token_files": op2_token_files,
+        "op3_near_duplicates": op3_near_duplicates,
+        "op4_decontaminate": op4_decontaminate,
+        "op5_packing": op5_packing,
+        "op8_licenses": op8_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op4_decontaminate": decontaminate.ORACLE,
+        "op8_licenses": licenses.oracle(),
+    }
