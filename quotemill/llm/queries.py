@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, line_dedup, minhash, packing, token_output
+from . import decontaminate, hnsw, language_id, licenses, line_dedup, minhash, packing, token_counts, token_output, toxicity
 from .shared import ship
 
 
@@ -40,11 +40,33 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after inserts, deletes and revisions."""
+    return token_counts.maintained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licences among all documents and their lines."""
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors to each whose vec_id is divisible by 50."""
+    table = _table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(table, table.where("vec_id % 50 = 0"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents."""
+    return language_id.predicted(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -52,7 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_duplicates": op3_near_duplicates,
         "op4_decontaminate": op4_decontaminate,
         "op5_packing": op5_packing,
+        "op6_toxicity": op6_toxicity,
+        "op7_token_counts": op7_token_counts,
         "op8_licenses": op8_licenses,
+        "op9_nearest": op9_nearest,
+        "op10_language_id": op10_language_id,
     }
 
 
