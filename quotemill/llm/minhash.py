@@ -200,15 +200,32 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """What _across does, for buckets of any size: each is cut into blocks, and a block meets every block.
+    """What _across does, for buckets of any size, cut into blocks.
 
-    Each member goes once to each pair of blocks that its own is in; tasks hold two blocks at a time.
+    The members of a bucket's largest component, linked already, needn't meet each other. Their blocks meet the
+    blocks of the other members, and those meet each other: each member goes once to each pair of blocks with
+    its own, and a task holds two blocks at a time.
     """
-    size = members.groupBy("k1", "k2").agg(F.count("*").alias("size"))
-    dealt = members.join(size, ["k1", "k2"]).withColumn("of", F.ceil(F.col("size") / (BUCKET // 2)).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    other = F.explode(F.expr("sequence(0, of - 1)"))
-    dealt = dealt.withColumn("other", other)
+    counts = members.groupBy("k1", "k2", "component").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("k1", "k2").agg(
+        F.max_by("component", "c").alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n_all")
+    )
+    half = BUCKET // 2
+    dealt = members.drop("size").join(sizes, ["k1", "k2"])
+    dealt = dealt.withColumns(
+        {
+            "a": F.ceil(F.col("n_major") / half).cast("int"),
+            "b": F.ceil((F.col("n_all") - F.col("n_major")) / half).cast("int"),
+            "is_major": F.col("component") == F.col("major"),
+            "at": F.xxhash64("node"),
+        }
+    )
+    dealt = dealt.withColumns(
+        {
+            "block": F.when(F.col("is_major"), F.pmod("at", "a")).otherwise(F.col("a") + F.pmod("at", "b")).cast("int"),
+            "other": F.explode(F.expr("sequence(if(is_major, a, 0), a + b - 1)")),
+        }
+    )
     return _across(
         dealt.select(
             F.xxhash64("k1", "k2", F.least("block", "other")).alias("k1"),
