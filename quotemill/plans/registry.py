@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quotemill.plans import market, parts, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {**market.QUERIES, **parts.QUERIES, **texts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**market.SQL, **parts.SQL, **texts.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    """The whole analysis of all requests: match, price, heat and risk of each line."""
+    return parts.analyze(spark, sf_dir)
