@@ -122,7 +122,7 @@ def fuzzy_scores(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES)
     blocks = 16
     keys = catalog.select("part_key").distinct().withColumn("block", F.pmod(F.xxhash64("part_key"), F.lit(blocks)))
     wanted = inputs.where("key <> ''").select("input_id", F.col("key").alias("query"))
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         names = sorted(there["part_key"])

@@ -244,11 +244,11 @@ pos AS (
 ), masks AS (
   SELECT input_id, key, p, unnest(range(1, 1 << len(p))) AS m FROM pos WHERE len(p) BETWEEN 1 AND 6
 ), readings AS (
-  SELECT input_id, reading, row_number() OVER (PARTITION BY input_id ORDER BY reading) - 1 AS at FROM (
+  SELECT input_id, reading, row_number() OVER (PARTITION BY input_id ORDER BY reading) - 1 AS "at" FROM (
     SELECT input_id, array_to_string(list_transform(range(1, length(key) + 1), lambda i:
       CASE WHEN list_contains(p, i) AND (m >> (list_position(p, i) - 1)) & 1 = 1
         THEN CASE substr(key, i, 1) WHEN 'O' THEN '0' WHEN '0' THEN 'O' WHEN 'I' THEN '1' ELSE 'I' END
-        ELSE substr(key, i, 1) END), '') AS reading FROM masks) QUALIFY at < 8
+        ELSE substr(key, i, 1) END), '') AS reading FROM masks) QUALIFY "at" < 8
 )"""
 _RANK = """row_number() OVER (PARTITION BY input_id ORDER BY upper(mpn) <> upper(trim(input_string)),
   lifecycle_status IN ('Obsolete', 'EOL'), authorized_stock = 0, mpn)"""
@@ -256,7 +256,7 @@ _EXACT = "exact AS (SELECT input_id, input_string, p.*, 1.0 AS confidence, 'exac
 _VARIANT = """variant AS (
   SELECT i.input_id, i.input_string, p.*, 0.95 AS confidence, 'confusable_variant' AS method
   FROM readings r JOIN parts p ON r.reading = p.part_key JOIN inputs i ON i.input_id = r.input_id
-  QUALIFY r.at = min(r.at) OVER (PARTITION BY i.input_id))"""
+  QUALIFY r."at" = min(r."at") OVER (PARTITION BY i.input_id))"""
 _PREFIX = """prefix AS (
   SELECT input_id, input_string, p.*, 0.85 AS confidence, 'prefix' AS method FROM inputs i JOIN parts p ON starts_with(p.part_key, i.key)
   WHERE length(i.key) >= 6 QUALIFY row_number() OVER (PARTITION BY input_id ORDER BY part_key, mpn) <= 10)"""
@@ -335,7 +335,7 @@ _RFQS = """rfqs AS (
 _LABEL = "CASE WHEN p >= 1 THEN round(p, 2) WHEN p >= 0.01 THEN round(p, 3) ELSE round(p, 4) END"
 SQL = {
     "normalize_inputs": f"{_NORMAL} SELECT input_id, display, key, grade, base_key FROM normalized",
-    "input_variants": f"{_NORMAL}, {_PARTS}, {_READINGS} SELECT input_id, CAST(at AS INT) AS at, reading AS variant FROM readings WHERE at < 1",
+    "input_variants": f"{_NORMAL}, {_PARTS}, {_READINGS} SELECT input_id, CAST(\"at\" AS INT) AS \"at\", reading AS variant FROM readings WHERE \"at\" < 1",
     "match_exact": f"{_NORMAL}, {_PARTS}, {_EXACT} {_ranked('exact')}",
     "match_variant": f"{_NORMAL}, {_PARTS}, {_READINGS}, {_VARIANT} {_ranked('variant')}",
     "match_prefix": f"{_NORMAL}, {_PARTS}, {_PREFIX} {_ranked('prefix')}",
