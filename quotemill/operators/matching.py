@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -162,20 +162,18 @@ def near_misses(scored: DataFrame, catalog: DataFrame) -> DataFrame:
 def cascade(requests: DataFrame, catalog: DataFrame, with_fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """Candidates (input_id, rank, mpn, confidence, method) and near misses of all requests.
 
-    Each tier gets the inputs that no earlier one has found.
+    A tier counts for the inputs that no earlier one has found.
     """
     catalog = keyed(catalog)
-    left = normalized(requests)
-    tiers = []
-    for tier in (exact, variant, prefix, base_part):
-        found = ranked(tier(left, catalog))
-        tiers.append(found)
-        left = left.join(found.select("input_id").distinct(), "input_id", "left_anti")
-    out = tiers[0]
-    for more in tiers[1:]:
-        out = out.unionByName(more)
+    # the rules are the expensive part and all tiers need them
+    inputs = normalized(requests).persist()
+    hits = [tier(inputs, catalog).withColumn("tier", F.lit(i)) for i, tier in enumerate((exact, variant, prefix, base_part))]
+    every = reduce(DataFrame.unionByName, hits)
+    first = F.min("tier").over(Window.partitionBy("input_id"))
+    out = ranked(every.withColumn("first", first).where("tier = first"))
     if not with_fuzzy:
         return out, out.limit(0)
+    left = inputs.join(out.select("input_id").distinct(), "input_id", "left_anti")
     scored = fuzzy_scores(left, catalog).persist()
     return out.unionByName(fuzzy(scored, catalog)), near_misses(scored, catalog)
 
