@@ -7,9 +7,11 @@ Shingles of five words; two documents are linked if 100 * common >= 75 * togethe
 2. Three minima make a band. Classes that share a band are held against one of them, the bucket's pivot:
    as many comparisons as members. Signatures are compared first, then whole sets.
 3. Components of these links. A bucket of one component has nothing left to find. In a mixed one the classes
-   of different components are compared with each other, within tasks, by signature. A bucket too large for
-   that is split by a second band, and so on: similar sets share many bands, so they meet again in the parts.
-   What stays too large when bands run out is cut into blocks, and each block is held against each.
+   of different components are compared with each other, within tasks, by signature; a pair is told only where
+   its first shared bands lead. A large bucket that is one component but for a few strays is cut into blocks,
+   which meet the strays; another large one is split by a second band, and so on: similar sets share many
+   bands, so they meet again in the parts. What stays too large when bands run out is cut into blocks, and
+   each block is held against each.
 4. Links found there join the others; components again.
 
 A pair at the threshold misses all of 24 bands with probability 2e-6.
@@ -26,7 +28,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +37,17 @@ from .shared import text_blocks, written
 from .words import shingle_sets
 
 BANDS, ROWS = 24, 3
+#: Functions besides those of the bands, of whose minima a signature keeps one byte each.
+MORE = 128
 #: In hundredths, as the rule is one of whole numbers.
 THRESHOLD = 75
 SHINGLE_WORDS = 5
 #: Members of a bucket that one task compares with each other.
 BUCKET = 256
 #: Signature agreement that leads to whole sets: the threshold less five standard errors.
-AGREEMENT = 0.5
+AGREEMENT = 0.6
+#: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
+BROADCAST_ROWS = 250_000
 #: Splits of a large bucket by a further band, before it is cut into blocks.
 SPLITS = 3
 
@@ -50,7 +55,7 @@ SPLITS = 3
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and addends of the hash functions: fixed, odd multipliers."""
     rng = np.random.default_rng(20240229)
-    draw = lambda: rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
+    draw = lambda: rng.integers(0, 1 << 63, BANDS * ROWS + MORE, dtype=np.uint64) * np.uint64(2)
     return draw() | np.uint64(1), draw()
 
 
@@ -65,6 +70,18 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed_signatures(found: np.ndarray) -> list[bytes]:
+    """The bands' minima as they are, of the others the lowest byte."""
+    words, more = found[:, : BANDS * ROWS], found[:, BANDS * ROWS :].astype(np.uint8)
+    return [w.tobytes() + m.tobytes() for w, m in zip(words, more)]
+
+
+def unpacked(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bands' minima and the others' bytes, a row each."""
+    whole = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return np.ascontiguousarray(whole[:, : 4 * BANDS * ROWS]).view(np.uint32), whole[:, 4 * BANDS * ROWS :]
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     """A key for each band of each signature; bands never share keys."""
     from .words import mix
@@ -83,13 +100,13 @@ def _signed(docs: DataFrame) -> DataFrame:
         for part, texts in text_blocks(batches):
             sets = shingle_sets(texts, SHINGLE_WORDS)
             full = [s for s in sets if len(s)]
-            found = iter(signatures(full)) if full else iter(())
+            found = iter(packed_signatures(signatures(full)) if full else ())
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([next(found).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([next(found) if len(s) else None for s in sets], pa.binary()),
                 ],
                 ["doc_id", "n_shingles", "digest", "signature"],
             )
@@ -105,7 +122,7 @@ def _members(classes: DataFrame) -> DataFrame:
         for batch in batches:
             raw = batch.column("signature").to_pylist()
             if raw:
-                keys = band_keys(np.frombuffer(b"".join(raw), np.uint32).reshape(len(raw), -1))
+                keys = band_keys(unpacked(raw)[0])
                 reps = np.repeat(batch.column("rep").to_numpy(), BANDS)
                 bands = np.tile(np.arange(BANDS, dtype=np.int32), len(raw))
                 yield pa.RecordBatch.from_arrays(
@@ -116,9 +133,8 @@ def _members(classes: DataFrame) -> DataFrame:
 
 
 def _agree(one: list[bytes], other: list[bytes]) -> np.ndarray:
-    a = np.frombuffer(b"".join(one), np.uint32).reshape(len(one), -1)
-    b = np.frombuffer(b"".join(other), np.uint32).reshape(len(other), -1)
-    return (a == b).mean(axis=1)
+    sides = zip(unpacked(one), unpacked(other))
+    return sum((a == b).sum(axis=1) for a, b in sides) / (BANDS * ROWS + MORE)
 
 
 def _by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -137,8 +153,11 @@ def _by_signature(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """node, set: the sorted shingle hashes of the named classes, from the whole text of one document each."""
+def _sets(docs: DataFrame, reps: DataFrame, bounded: bool) -> DataFrame:
+    """node, set: the sorted shingle hashes of the named classes, from the whole text of one document each.
+
+    bounded: the names are few enough to be broadcast, so that only their texts are moved.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_blocks(batches):
@@ -150,7 +169,8 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = rows.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    names = reps.select(F.col("rep").alias("doc_id"))
+    named = rows.join(F.broadcast(names) if bounded else names, "doc_id", "left_semi")
     found = named.select("doc_id", "text").mapInArrow(run, "rep long, digest binary, set binary")
     return found.join(reps, ["rep", "digest"]).select("node", "set").dropDuplicates(["node"])
 
@@ -158,9 +178,12 @@ def _sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets meet the threshold, as edges u, v."""
     pairs = pairs.checkpoint()
+    if pairs.isEmpty():
+        return pairs.toDF("u", "v")
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    reps = classes.select("node", "rep", "digest").join(named, "node", "left_semi")
-    sets = _sets(docs, reps)
+    bounded = named.count() <= BROADCAST_ROWS
+    reps = classes.select("node", "rep", "digest").join(F.broadcast(named) if bounded else named, "node", "left_semi")
+    sets = _sets(docs, reps, bounded)
     sides = [sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,21 +200,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "u long, v long").checkpoint()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs a < b of different components that share a bucket of at most BUCKET members and nearly agree.
+def _across(members: DataFrame, depth: int) -> DataFrame:
+    """Pairs a < b of different components in one group whose signatures nearly agree.
 
-    members: bucket columns k1, k2, and node, component, n, signature. One group is one bucket.
+    members: group columns k1, k2, the band that led there last, and node, component, n, signature. A pair is
+    told if the `depth` bands that led there are the first that it shares.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        node, part, n = (table.column(c).to_numpy() for c in ("node", "component", "n"))
-        found = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
+        node, part, n, band = (table.column(c).to_numpy() for c in ("node", "component", "n", "band"))
+        words, more = unpacked(table.column("signature").to_pylist())
+        # members of the largest component come last: they needn't meet each other
+        values, number, counts = np.unique(part, return_inverse=True, return_counts=True)
+        order = np.argsort(number == counts.argmax(), kind="stable")
+        node, part, n, words, more = node[order], part[order], n[order], words[order], more[order]
         out = []
-        for i in range(len(node) - 1):
+        for i in range(len(node) - int(counts.max())):
             rest = slice(i + 1, None)
             sizes = 100 * np.minimum(n[i], n[rest]) >= THRESHOLD * np.maximum(n[i], n[rest])
             may = i + 1 + np.flatnonzero(sizes & (part[rest] != part[i]))
-            near = may[(found[may] == found[i]).mean(axis=1) >= AGREEMENT]
+            same = words[may] == words[i]
+            agree = (same.sum(axis=1) + (more[may] == more[i]).sum(axis=1)) / (BANDS * ROWS + MORE)
+            first = same.reshape(len(may), BANDS, ROWS).all(axis=2)[:, : band[0] + 1].sum(axis=1) == depth
+            near = may[(agree >= AGREEMENT) & first]
             out.append(np.stack([np.full(len(near), node[i]), node[near]]))
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
@@ -200,22 +231,16 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """What _across does, for buckets of any size, cut into blocks.
+    """members of buckets of any size, each once for each pair of blocks with its own, as groups of two blocks.
 
     The members of a bucket's largest component, linked already, needn't meet each other. Their blocks meet the
-    blocks of the other members, and those meet each other: each member goes once to each pair of blocks with
-    its own, and a task holds two blocks at a time.
+    blocks of the other members, and those meet each other.
     """
-    counts = members.groupBy("k1", "k2", "component").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("k1", "k2").agg(
-        F.max_by("component", "c").alias("major"), F.max("c").alias("n_major"), F.sum("c").alias("n_all")
-    )
     half = BUCKET // 2
-    dealt = members.drop("size").join(sizes, ["k1", "k2"])
-    dealt = dealt.withColumns(
+    dealt = members.withColumns(
         {
             "a": F.ceil(F.col("n_major") / half).cast("int"),
-            "b": F.ceil((F.col("n_all") - F.col("n_major")) / half).cast("int"),
+            "b": F.ceil((F.col("size") - F.col("n_major")) / half).cast("int"),
             "is_major": F.col("component") == F.col("major"),
             "at": F.xxhash64("node"),
         }
@@ -226,27 +251,56 @@ def _blocks(members: DataFrame) -> DataFrame:
             "other": F.explode(F.expr("sequence(if(is_major, a, 0), a + b - 1)")),
         }
     )
-    return _across(
-        dealt.select(
-            F.xxhash64("k1", "k2", F.least("block", "other")).alias("k1"),
-            F.xxhash64("k2", "k1", F.greatest("block", "other")).alias("k2"),
-            "node", "component", "n", "signature",
-        )
+    return dealt.select(
+        F.xxhash64("k1", "k2", F.least("block", "other")).alias("k1"),
+        F.xxhash64("k2", "k1", F.greatest("block", "other")).alias("k2"),
+        "band", "node", "component",
     )
 
 
 def _mixed(members: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with the bucket's size."""
-    spread = members.groupBy("k1", "k2").agg(
-        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+    """Members of the buckets that hold more than one component, with the bucket's size and largest component."""
+    counts = members.groupBy("k1", "k2", "component").agg(F.count("*").alias("c"))
+    spread = counts.groupBy("k1", "k2").agg(
+        F.sum("c").alias("size"), F.max("c").alias("n_major"), F.max_by("component", F.struct("c", "component")).alias("major")
     )
-    return members.join(spread.where("low <> high").select("k1", "k2", "size"), ["k1", "k2"])
+    return members.join(spread.where("n_major < size"), ["k1", "k2"])
+
+
+def _candidates(members: DataFrame, found: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs of different components that share bands and nearly agree.
+
+    members: key, band, rep of each class in each bucket; found: node, component; own: rep, n, signature.
+    """
+    signature = own.select(F.col("rep").alias("node"), "n", "signature")
+    left = members.select(F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "band", F.col("rep").alias("node"))
+    left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    left, out = written(_mixed(left), "mixed"), []
+    for depth in range(1, SPLITS + 2):
+        small, large = left.where(F.col("size") <= BUCKET), left.where(F.col("size") > BUCKET)
+        out.append(_across(small.join(signature, "node"), depth))
+        few = F.col("size") - F.col("n_major") <= BUCKET if depth <= SPLITS else F.lit(True)
+        if large.isEmpty():
+            break
+        out.append(_across(_blocks(large.where(few)).join(signature, "node"), depth))
+        large = large.where(~few)
+        if large.isEmpty():
+            break
+        # the same bucket and one later band that members also share
+        later = members.select(F.col("rep").alias("node"), F.col("key"), F.col("band").alias("later"))
+        split = large.join(later, "node").where("later > band")
+        split = split.select(
+            F.xxhash64("k1", "k2", "key").alias("k1"), F.xxhash64("key", "k2", "k1").alias("k2"),
+            F.col("later").alias("band"), "node", "component",
+        )
+        left = written(_mixed(split), "mixed")
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal sets (digest, node) and the components of linked ones (node, component).
+    """The classes of equal sets (digest, node) and the links of near ones (u, v).
 
-    A node is a class, named by its least doc_id; a doc_id with several rows is one node for all their sets.
+    A node is a class, named by a hash of its set; a doc_id with several rows names one class for each of its sets.
     """
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("digest").agg(
@@ -260,31 +314,8 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(members.join(shared.select("key", "pivot"), "key"), "buckets")
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     edges = _confirmed(_by_signature(stars, own), docs, classes)
-
-    found = components(edges)
-    left = members.select(F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "band", F.col("rep").alias("node"))
-    left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left = written(_mixed(left), "mixed")
-    signature = own.select(F.col("rep").alias("node"), "n", "signature")
-    more = [_across(left.where(F.col("size") <= BUCKET).join(signature, "node"))]
-    for _ in range(SPLITS):
-        # the same bucket and one later band that members also share
-        large = left.where(F.col("size") > BUCKET).drop("size")
-        if large.isEmpty():
-            break
-        later = members.select(F.col("rep").alias("node"), F.col("key"), F.col("band").alias("later"))
-        split = large.join(later, "node").where("later > band")
-        split = split.select(
-            F.xxhash64("k1", "k2", "key").alias("k1"), F.xxhash64("key", "k2", "k1").alias("k2"),
-            F.col("later").alias("band"), "node", "component",
-        )
-        left = written(_mixed(split), "mixed")
-        more.append(_across(left.where(F.col("size") <= BUCKET).join(signature, "node")))
-    else:
-        more.append(_blocks(left.where(F.col("size") > BUCKET).join(signature, "node")))
-    pairs = reduce(DataFrame.unionByName, more).distinct()
-    edges = edges.unionByName(_confirmed(pairs, docs, classes))
-    return classes, edges
+    pairs = _candidates(members, components(edges), own)
+    return classes, edges.unionByName(_confirmed(pairs, docs, classes))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
