@@ -6,7 +6,9 @@ Shingles of five words; two documents are linked if 100 * common >= 75 * togethe
    named by its least doc_id; only classes are compared.
 2. Three minima make a band. Classes that share a band are held against one of them, the bucket's pivot:
    as many comparisons as members. Signatures are compared first, then whole sets.
-3. Components of these links. A bucket of one component has nothing left to find. In a mixed one the classes
+3. Components of these links. A bucket of one component has nothing left to find. In a mixed one what isn't in
+   the largest component is held against TRIES members of that, which hashes pick; components again. In those
+   that still are mixed the classes
    of different components are compared with each other, within tasks, by signature; a pair is told only where
    its first shared bands lead. A large bucket that is one component but for a few strays is cut into blocks,
    which meet the strays; another large one is split by a second band, and so on: similar sets share many
@@ -46,6 +48,8 @@ SHINGLE_WORDS = 5
 BUCKET = 256
 #: Signature agreement that leads to whole sets: the threshold less five standard errors.
 AGREEMENT = 0.6
+#: Members of a mixed bucket's largest component that each class outside it is held against.
+TRIES = 3
 #: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
 BROADCAST_ROWS = 250_000
 #: Splits of a large bucket by a further band, before it is cut into blocks.
@@ -202,7 +206,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
 
 def _across(members: DataFrame, depth: int) -> DataFrame:
     """Pairs a < b of different components in one group whose signatures nearly agree.
-
     members: group columns k1, k2, the band that led there last, and node, component, n, signature. A pair is
     told if the `depth` bands that led there are the first that it shares.
     """
@@ -214,7 +217,7 @@ def _across(members: DataFrame, depth: int) -> DataFrame:
         values, number, counts = np.unique(part, return_inverse=True, return_counts=True)
         order = np.argsort(number == counts.argmax(), kind="stable")
         node, part, n, words, more = node[order], part[order], n[order], words[order], more[order]
-        out = []
+        out = [np.zeros((2, 0), np.int64)]
         for i in range(len(node) - int(counts.max())):
             rest = slice(i + 1, None)
             sizes = 100 * np.minimum(n[i], n[rest]) >= THRESHOLD * np.maximum(n[i], n[rest])
@@ -223,8 +226,8 @@ def _across(members: DataFrame, depth: int) -> DataFrame:
             agree = (same.sum(axis=1) + (more[may] == more[i]).sum(axis=1)) / (BANDS * ROWS + MORE)
             first = same.reshape(len(may), BANDS, ROWS).all(axis=2)[:, : band[0] + 1].sum(axis=1) == depth
             near = may[(agree >= AGREEMENT) & first]
-            out.append(np.stack([np.full(len(near), node[i]), node[near]]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            out.append(np.stack([np.full(len(near), i), near]))
+        pairs = node[np.concatenate(out, axis=1)]
         return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
 
     return members.groupBy("k1", "k2").applyInArrow(run, "a long, b long")
@@ -267,6 +270,20 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(spread.where("n_major < size"), ["k1", "k2"])
 
 
+def _strays(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of each class outside its bucket's largest component and TRIES members of that, picked by hashes."""
+    left = members.select("key", F.col("rep").alias("node")).join(found, "node", "left")
+    left = left.withColumn("component", F.coalesce("component", "node"))
+    picks = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), "node"))["node"] for i in range(TRIES)]
+    parts = left.groupBy("key", "component").agg(F.count("*").alias("c"), F.array(*picks).alias("picks"))
+    largest = parts.groupBy("key").agg(
+        F.sum("c").alias("size"), F.max_by(F.struct("c", "component", "picks"), F.struct("c", "component")).alias("major")
+    )
+    largest = largest.where("major.c < size").select("key", "major")
+    pairs = left.join(largest, "key").where("component <> major.component")
+    return pairs.select(F.explode(F.array_distinct("major.picks")).alias("a"), F.col("node").alias("b")).distinct()
+
+
 def _candidates(members: DataFrame, found: DataFrame, own: DataFrame) -> DataFrame:
     """Pairs of different components that share bands and nearly agree.
 
@@ -314,6 +331,8 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(members.join(shared.select("key", "pivot"), "key"), "buckets")
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     edges = _confirmed(_by_signature(stars, own), docs, classes)
+    strays = _by_signature(_strays(members, components(edges)), own)
+    edges = edges.unionByName(_confirmed(strays, docs, classes))
     pairs = _candidates(members, components(edges), own)
     return classes, edges.unionByName(_confirmed(pairs, docs, classes))
 
