@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_blocks, written
+from .shared import string_blocks, written
 from .tokenization import END_ID, default_vocabulary, encoder
 
 PLACES = 1024
@@ -132,9 +132,9 @@ def _measured(docs: DataFrame, vocabulary: str, places: int) -> DataFrame:
         task, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
         short, full = np.zeros(places, np.int64), 0
         end = np.array([END_ID], "<u4").tobytes()
-        for part, texts in text_blocks(batches):
+        for part, texts in string_blocks(batches):
             lengths, sums, kinds, ranks, fulls = [], [], [], [], []
-            for ids in encode([t.decode("utf-8", "replace") for t in texts]):
+            for ids in encode(texts):
                 ids += end
                 n = len(ids) // 4
                 cuts = np.cumsum([0, *pieces_of(n, places)]).tolist()

@@ -48,6 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _slices(batch: pa.RecordBatch, texts: list, limit: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    start = held = 0
+    for i, text in enumerate(texts):
+        if i > start and held + len(text) > limit:
+            yield batch.slice(start, i - start), texts[start:i]
+            start, held = i, 0
+        held += len(text)
+    if start < len(texts):
+        yield batch.slice(start), texts[start:]
+
+
 def text_blocks(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -56,12 +67,12 @@ def text_blocks(
     A text over the limit has a slice of its own, so memory follows the longest text and not the batch.
     """
     for batch in batches:
-        texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(column).to_pylist()]
-        start = held = 0
-        for i, text in enumerate(texts):
-            if i > start and held + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(text)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        yield from _slices(batch, [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(column).to_pylist()], limit)
+
+
+def string_blocks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """As text_blocks, with texts as strings and the limit in characters."""
+    for batch in batches:
+        yield from _slices(batch, [x or "" for x in batch.column(column).to_pylist()], limit)

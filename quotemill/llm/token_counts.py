@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, text_blocks
+from .shared import shared_folder, string_blocks
 from .tokenization import default_vocabulary, encoder
 
 #: The vocabulary's file and the number of this way of counting.
@@ -41,8 +41,8 @@ def counted(docs: DataFrame, vocabulary: str | None = None, version: str = VERSI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for part, texts in text_blocks(batches):
-            sizes = [len(x) // 4 for x in encode([t.decode("utf-8", "replace") for t in texts])]
+        for part, texts in string_blocks(batches):
+            sizes = [len(x) // 4 for x in encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("source"), part.column("lang"), pa.array([version] * len(sizes)), pa.array(sizes, pa.int64())],
                 ["doc_id", *_KEYS, "n_tokens"],

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import shared_folder, text_blocks, written
+from .shared import shared_folder, string_blocks, written
 from .tokenization import END_ID, default_vocabulary, encoder
 
 #: A block is closed at the document that brings it to so many ids.
@@ -35,8 +35,8 @@ def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, pack = encoder(vocabulary).encode, zstandard.ZstdCompressor(level=1).compress
         end = np.array([END_ID], "<u4").tobytes()
-        for part, texts in text_blocks(batches):
-            ids = [x + end for x in encode([t.decode("utf-8", "replace") for t in texts])]
+        for part, texts in string_blocks(batches):
+            ids = [x + end for x in encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),

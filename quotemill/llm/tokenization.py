@@ -49,7 +49,7 @@ def _byte_lengths(tokenizer) -> np.ndarray:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. Holds up to `most` parts; then it starts anew."""
 
-    def __init__(self, vocabulary: str, most: int = 450_000):
+    def __init__(self, vocabulary: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit

@@ -118,7 +118,7 @@ def test_plan_uses_up_counts_and_fills_exactly():
     counts[[60, 25, 15, 40, 50]] = 10, 10, 10, 5, 4
     plan = packing.plan(counts, 100)
     assert plan.left.sum() == 0 and np.array_equal(plan.used, counts)
-    assert plan.sequences == 12  # 1250 places: half a sequence is left over
+    assert plan.sequences == 14  # 1400 places
 
 
 def test_rollup_is_additive_and_idempotent(spark, whole):
