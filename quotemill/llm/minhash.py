@@ -326,7 +326,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(classes, "classes").withColumn("node", F.xxhash64("digest"))
     own = classes.select(F.col("node").alias("rep"), "n", "signature")
 
-    members = _members(own)
+    members = written(_members(own), "bands")
     shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     members = written(members.join(shared.select("key", "pivot"), "key"), "buckets")
     stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
