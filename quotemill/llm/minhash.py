@@ -5,7 +5,8 @@ Shingles of five words; two documents are linked if 100 * common >= 75 * togethe
 1. Each set becomes a signature: the minima of many universal hash functions. Equal sets are one class,
    named by its least doc_id; only classes are compared.
 2. Three minima make a band. Classes that share a band are held against one of them, the bucket's pivot:
-   as many comparisons as members. Signatures are compared first, then whole sets.
+   as many comparisons as members. The pivot is the member whose buckets are the largest: among edited copies
+   of a text that is one near to the text itself. Signatures are compared first, then whole sets.
 3. Components of these links. A bucket of one component has nothing left to find. In a mixed one what isn't in
    the largest component is held against TRIES members of that, which hashes pick; components again. In those
    that still are mixed the classes
@@ -45,7 +46,10 @@ MORE = 128
 THRESHOLD = 75
 SHINGLE_WORDS = 5
 #: Members of a bucket that one task compares with each other.
-BUCKET = 256
+BUCKET = 1024
+#: Members outside its largest component up to which a large bucket is cut into blocks and not split by a further
+#: band: a split makes a row for each band that comes later, blocks make one for each BUCKET / 2 of these members.
+FEW = 4096
 #: Signature agreement that leads to whole sets: the threshold less five standard errors.
 AGREEMENT = 0.6
 #: Members of a mixed bucket's largest component that each class outside it is held against.
@@ -270,11 +274,21 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(spread.where("n_major < size"), ["k1", "k2"])
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of each class and the pivots of its buckets. members: key, rep, size of the bucket."""
+    weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
+    weighed = members.select("key", "rep").join(weights, "rep")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("pivot"))
+    pairs = members.join(pivots, "key").where("rep <> pivot")
+    return pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def _strays(members: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of each class outside its bucket's largest component and TRIES members of that, picked by hashes."""
     left = members.select("key", F.col("rep").alias("node")).join(found, "node", "left")
     left = left.withColumn("component", F.coalesce("component", "node"))
-    picks = [F.min(F.struct(F.xxhash64("node", "key", F.lit(i)), "node"))["node"] for i in range(TRIES)]
+    # the hashes know no bucket: buckets of one component mostly pick the same members
+    picks = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node"))["node"] for i in range(TRIES)]
     parts = left.groupBy("key", "component").agg(F.count("*").alias("c"), F.array(*picks).alias("picks"))
     largest = parts.groupBy("key").agg(
         F.sum("c").alias("size"), F.max_by(F.struct("c", "component", "picks"), F.struct("c", "component")).alias("major")
@@ -296,7 +310,7 @@ def _candidates(members: DataFrame, found: DataFrame, own: DataFrame) -> DataFra
     for depth in range(1, SPLITS + 2):
         small, large = left.where(F.col("size") <= BUCKET), left.where(F.col("size") > BUCKET)
         out.append(_across(small.join(signature, "node"), depth))
-        few = F.col("size") - F.col("n_major") <= BUCKET if depth <= SPLITS else F.lit(True)
+        few = F.col("size") - F.col("n_major") <= FEW if depth <= SPLITS else F.lit(True)
         if large.isEmpty():
             break
         out.append(_across(_blocks(large.where(few)).join(signature, "node"), depth))
@@ -327,9 +341,9 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = classes.select(F.col("node").alias("rep"), "n", "signature")
 
     members = written(_members(own), "bands")
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    members = written(members.join(shared.select("key", "pivot"), "key"), "buckets")
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(members.join(shared, "key"), "buckets")
+    stars = _stars(members).checkpoint()
     edges = _confirmed(_by_signature(stars, own), docs, classes)
     strays = _by_signature(_strays(members, components(edges)), own)
     edges = edges.unionByName(_confirmed(strays, docs, classes))
