@@ -54,6 +54,8 @@ FEW = 4096
 AGREEMENT = 0.6
 #: Members of a mixed bucket's largest component that each class outside it is held against.
 TRIES = 3
+#: Bytes of sets that a task confirming a group of pairs holds at once, and of their members in one step of the count.
+GROUP_BYTES, STEP = 32 << 20, 64
 #: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
 BROADCAST_ROWS = 250_000
 #: Splits of a large bucket by a further band, before it is cut into blocks.
@@ -183,15 +185,52 @@ def _sets(docs: DataFrame, reps: DataFrame, bounded: bool) -> DataFrame:
     return found.join(reps, ["rep", "digest"]).select("node", "set").dropDuplicates(["node"])
 
 
+def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, set of the classes in the pairs a, b."""
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    bounded = named.count() <= BROADCAST_ROWS
+    reps = classes.select("node", "rep", "digest").join(F.broadcast(named) if bounded else named, "node", "left_semi")
+    return _sets(docs, reps, bounded)
+
+
+def _confirmed_groups(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """As _confirmed, of pairs g, a, b: a group's sets are sent once each and not once for each of its pairs."""
+    pairs = pairs.checkpoint()
+    if pairs.isEmpty():
+        return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sides = [pairs.select(F.col("g").alias("h"), F.col(s).alias("node")) for s in "ab"]
+    sets = sides[0].unionByName(sides[1]).distinct().join(_sets_of(pairs, docs, classes), "node").select("h", "node", "set")
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        names = sets.column("node").to_numpy()
+        held = [np.frombuffer(s.as_py(), np.uint64) for s in sets.column("set")]
+        order = np.argsort(names)
+        a, b = (order[np.searchsorted(names[order], pairs.column(s).to_numpy())] for s in "ab")
+        keep = np.zeros(len(a), bool)
+        number = np.split(np.unique(np.concatenate(held), return_inverse=True)[1], np.cumsum([len(s) for s in held])[:-1])
+        mark = np.zeros(1 + max(int(x.max()) for x in number), bool)
+        sizes = np.array([len(s) for s in held])
+        by_a = np.argsort(a, kind="stable")
+        for own in np.split(by_a, np.flatnonzero(np.diff(a[by_a])) + 1):
+            one = a[own[0]]
+            mark[number[one]] = True
+            for i in range(0, len(own), STEP):
+                some = own[i : i + STEP]
+                starts = np.concatenate([[0], np.cumsum(sizes[b[some]])[:-1]])
+                common = np.add.reduceat(mark[np.concatenate([number[k] for k in b[some]])], starts, dtype=np.int64)
+                keep[some] = 100 * common >= THRESHOLD * (sizes[one] + sizes[b[some]] - common)
+            mark[number[one]] = False
+        return pairs.select(["a", "b"]).filter(pa.array(keep)).rename_columns(["u", "v"])
+
+    return pairs.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(run, "u long, v long").checkpoint()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets meet the threshold, as edges u, v."""
     pairs = pairs.checkpoint()
     if pairs.isEmpty():
         return pairs.toDF("u", "v")
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    bounded = named.count() <= BROADCAST_ROWS
-    reps = classes.select("node", "rep", "digest").join(F.broadcast(named) if bounded else named, "node", "left_semi")
-    sets = _sets(docs, reps, bounded)
+    sets = _sets_of(pairs, docs, classes)
     sides = [sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +250,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
 def _across(members: DataFrame, depth: int) -> DataFrame:
     """Pairs a < b of different components in one group whose signatures nearly agree.
     members: group columns k1, k2, the band that led there last, and node, component, n, signature. A pair is
-    told if the `depth` bands that led there are the first that it shares.
+    told if the `depth` bands that led there are the first that it shares. Pairs come as groups g, a, b, whose
+    sets take up to GROUP_BYTES.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -221,7 +261,7 @@ def _across(members: DataFrame, depth: int) -> DataFrame:
         values, number, counts = np.unique(part, return_inverse=True, return_counts=True)
         order = np.argsort(number == counts.argmax(), kind="stable")
         node, part, n, words, more = node[order], part[order], n[order], words[order], more[order]
-        out = [np.zeros((2, 0), np.int64)]
+        out, seen, room, piece = [np.zeros((3, 0), np.int64)], np.zeros(len(node), bool), GROUP_BYTES, 0
         for i in range(len(node) - int(counts.max())):
             rest = slice(i + 1, None)
             sizes = 100 * np.minimum(n[i], n[rest]) >= THRESHOLD * np.maximum(n[i], n[rest])
@@ -230,11 +270,21 @@ def _across(members: DataFrame, depth: int) -> DataFrame:
             agree = (same.sum(axis=1) + (more[may] == more[i]).sum(axis=1)) / (BANDS * ROWS + MORE)
             first = same.reshape(len(may), BANDS, ROWS).all(axis=2)[:, : band[0] + 1].sum(axis=1) == depth
             near = may[(agree >= AGREEMENT) & first]
-            out.append(np.stack([np.full(len(near), i), near]))
-        pairs = node[np.concatenate(out, axis=1)]
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
-
-    return members.groupBy("k1", "k2").applyInArrow(run, "a long, b long")
+            for some in (near[j : j + STEP] for j in range(0, len(near), STEP)):
+                both = np.append(some, i)
+                need = 8 * int(n[both[~seen[both]]].sum())
+                if need > room and seen.any():
+                    seen[:], room, piece = False, GROUP_BYTES, piece + 1
+                    need = 8 * int(n[both].sum())
+                seen[both], room = True, room - need
+                out.append(np.stack([np.full(len(some), i), some, np.full(len(some), piece)]))
+        found = np.concatenate(out, axis=1)
+        pairs = node[found[:2]]
+        keys = (np.full(found.shape[1], table.column(k)[0].as_py(), np.int64) for k in ("k1", "k2"))
+        return pa.table([*keys, found[2], pairs.min(axis=0), pairs.max(axis=0)], ["k1", "k2", "piece", "a", "b"])
+
+    found = members.groupBy("k1", "k2").applyInArrow(run, "k1 long, k2 long, piece long, a long, b long")
+    return found.select(F.xxhash64("k1", "k2", "piece").alias("g"), "a", "b")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -299,7 +349,7 @@ def _strays(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame, found: DataFrame, own: DataFrame) -> DataFrame:
-    """Pairs of different components that share bands and nearly agree.
+    """Pairs of different components that share bands and nearly agree, as g, a, b: each pair in one group.
 
     members: key, band, rep of each class in each bucket; found: node, component; own: rep, n, signature.
     """
@@ -325,7 +375,7 @@ def _candidates(members: DataFrame, found: DataFrame, own: DataFrame) -> DataFra
             F.col("later").alias("band"), "node", "component",
         )
         left = written(_mixed(split), "mixed")
-    return reduce(DataFrame.unionByName, out).distinct()
+    return reduce(DataFrame.unionByName, out).groupBy("a", "b").agg(F.min("g").alias("g")).select("g", "a", "b")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,7 +398,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     strays = _by_signature(_strays(members, components(edges)), own)
     edges = edges.unionByName(_confirmed(strays, docs, classes))
     pairs = _candidates(members, components(edges), own)
-    return classes, edges.unionByName(_confirmed(pairs, docs, classes))
+    return classes, edges.unionByName(_confirmed_groups(pairs, docs, classes))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
