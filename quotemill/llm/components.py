@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .shared import shared_folder
 
+#: Edges that are worth a partition: fewer edges than partitions allow go to fewer partitions.
+PARTITION_EDGES = 50_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked with the least of its neighbours and itself."""
@@ -22,9 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def _kept(edges: DataFrame) -> DataFrame:
+def _kept(edges: DataFrame, parts: int | None = None) -> DataFrame:
     shared_folder(edges.sparkSession)
-    return edges.distinct().checkpoint()
+    edges = edges.distinct()
+    return (edges.coalesce(parts) if parts else edges).checkpoint()
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -43,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = _kept(edges)
     state = _state(edges)
     while state[0]:
-        edges = _kept(_small_star(_large_star(edges)))
+        parts = -(-state[0] // PARTITION_EDGES)
+        edges = _kept(_small_star(_large_star(edges).coalesce(parts)).coalesce(parts), parts)
         state, before = _state(edges), state
         if state == before:
             break
