@@ -11,7 +11,7 @@ bound; else Spark shuffles both. Only documents with a hit are read again, to co
 
 Items with fewer than 13 tokens, null or empty, match nothing: too short to tell. Null or empty text: no match.
 Null doc_id: rows are compared like others and come back as null. Rows with one doc_id: a match in any counts;
-the same match is told once. Empty tables: no rows. Other columns are ignored.
+the same match is told once. decontaminated() drops only the rows that match, whatever their doc_id. Empty tables: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,25 +47,25 @@ def _seeds(rows: DataFrame, *names: str) -> DataFrame:
     return both.select(*names, F.posexplode("seeds").alias("place", "seed"))
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, doc_start, item_start, n_tokens, n_matches: the longest overlap for each document and item.
+def _row(docs: DataFrame) -> Column:
+    """Names rows by what they hold: rows of one name match the same."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
-    An overlap runs from the first token that agrees of the first such window to the last one of the last, in
-    one alignment. Of several the one with most agreeing tokens is told, then the first in the document, then
-    in the item.
-    """
+
+def _alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """row, doc_id, item_id, shift, agree, starts of the alignments that hold a passage; doc_id is that of the row."""
     test = items.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= WINDOW)
     test = written(test, "items")
     keys = _seeds(test, "item_id").select("seed", "item_id", F.col("place").alias("item_place")).distinct()
     keys = written(keys, "seeds")
     bounded = keys.count() <= BROADCAST_ROWS
-    train = docs.select(F.xxhash64("doc_id", "text").alias("row"), tokens(F.col("text")).alias("tokens"))
+    train = docs.select(_row(docs).alias("row"), tokens(F.col("text")).alias("tokens"))
     found = _seeds(train.where(F.size("tokens") >= WINDOW), "row")
     hits = found.join(F.broadcast(keys) if bounded else keys, "seed")
     hits = hits.select("row", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     hits = written(hits, "hits")
 
-    again = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    again = docs.select("doc_id", "text", _row(docs).alias("row"))
     named = hits.select("row").distinct()
     again = again.join(named, "row", "left_semi").dropDuplicates(["row"])
     again = again.select("row", "doc_id", tokens(F.col("text")).alias("doc_tokens"))
@@ -74,12 +74,22 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     agree = F.transform(
         "item_tokens", lambda w, i: F.coalesce(w == F.get("doc_tokens", i + F.col("shift")), F.lit(False)).cast("int")
     )
-    both = both.select("doc_id", "item_id", "shift", agree.alias("agree"))
+    both = both.select("row", "doc_id", "item_id", "shift", agree.alias("agree"))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("agree") - WINDOW),
         lambda i: F.aggregate(F.slice("agree", i + 1, WINDOW), F.lit(0), lambda a, x: a + x) >= WINDOW - SUBSTITUTIONS,
     )
-    both = both.withColumn("starts", starts).where(F.size("starts") > 0)
+    return both.withColumn("starts", starts).where(F.size("starts") > 0)
+
+
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, doc_start, item_start, n_tokens, n_matches: the longest overlap for each document and item.
+
+    An overlap runs from the first token that agrees of the first such window to the last one of the last, in
+    one alignment. Of several the one with most agreeing tokens is told, then the first in the document, then
+    in the item.
+    """
+    both = _alignments(docs, items)
     inside = F.filter(
         F.sequence(F.array_min("starts"), F.array_max("starts") + (WINDOW - 1)), lambda i: F.get("agree", i) == 1
     )
@@ -99,8 +109,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no passage of an item stands."""
-    gone = overlaps(docs, items).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = _alignments(docs, items).select(F.col("row").alias("__gone")).distinct()
+    return docs.join(gone, _row(docs) == gone["__gone"], "left_anti")
 
 
 #: The same rule without masks. Of 13 tokens in line of which 11 agree, four in a row agree, so alignments come

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,31 +203,10 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(languages, logs[0], logs[1], tables[2] > SCRIPT_SHARE * tables[2].sum(axis=0))
 
 
-def identified(docs: DataFrame, model: Model, with_spans: bool = False, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """doc_id, lang_pred, score of every row; with_spans: also start, end (in characters) and lang of spans."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # buckets by language, bounded
+def _told(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool, penalty: float) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    """Slices of the batches, each with the columns lang_pred and score (with_spans: also spans) of its rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            begin = 0
-            while begin < len(texts):
-                stop, chars, held = begin, 0, []
-                while stop < len(texts) and chars < 1 << 22:
-                    # scores of some texts at a time, labels for more of them
-                    upto, size = stop, 0
-                    while upto < len(texts) and (upto == stop or size + len(texts[upto]) < 1 << 20):
-                        size += len(texts[upto])
-                        upto += 1
-                    words = words_of(texts[stop:upto])
-                    held.append((model.scores(words), words.letters, words.first, words.script, words.spans, stop))
-                    stop, chars = upto, chars + size
-                yield from told(batch.slice(begin, stop - begin), texts[begin:stop], held, begin, model)
-                begin = stop
-
-    def told(part, texts, held, begin, model) -> Iterator[pa.RecordBatch]:
+    def told(texts, held, begin) -> list[pa.Array]:
         scores = np.concatenate([h[0] for h in held])
         letters = np.concatenate([h[1] for h in held]).astype(np.float64)
         script = np.concatenate([h[3] for h in held])
@@ -247,14 +227,39 @@ def identified(docs: DataFrame, model: Model, with_spans: bool = False, penalty:
         best, total = votes.argmax(axis=1), votes.sum(axis=1)
         some = (total > 0) & (many > 0)
         columns = [
-            part.column("doc_id"),
             pa.array([model.languages[k] if s else UNKNOWN for k, s in zip(best, some)], pa.string()),
             pa.array(np.where(some, sure[np.arange(n), best] / np.maximum(total, 1), 0.0)),
         ]
         if with_spans:
             places = np.concatenate([h[4] - _offsets(h, texts, begin) for h in held], axis=1)
             columns.append(pa.array(_spans(labels, first, places, model.languages), _SPANS))
-        yield pa.RecordBatch.from_arrays(columns, names)
+        return columns
+
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        begin = 0
+        while begin < len(texts):
+            stop, chars, held = begin, 0, []
+            while stop < len(texts) and chars < 1 << 22:
+                # scores of some texts at a time, labels for more of them
+                upto, size = stop, 0
+                while upto < len(texts) and (upto == stop or size + len(texts[upto]) < 1 << 20):
+                    size += len(texts[upto])
+                    upto += 1
+                words = words_of(texts[stop:upto])
+                held.append((model.scores(words), words.letters, words.first, words.script, words.spans, stop))
+                stop, chars = upto, chars + size
+            yield batch.slice(begin, stop - begin), told(texts[begin:stop], held, begin)
+            begin = stop
+
+
+def identified(docs: DataFrame, model: Model, with_spans: bool = False, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """doc_id, lang_pred, score of every row; with_spans: also start, end (in characters) and lang of spans."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets by language, bounded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, columns in _told(batches, sent.value, with_spans, penalty):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names)
 
     names = ["doc_id", "lang_pred", "score"] + ["spans"] * with_spans
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans
@@ -291,11 +296,17 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose language could be told."""
-    found = identified(docs, learn(docs))
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE))
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of docs, with all their columns, whose language could be told.
+
+    Each row is judged by its own text: others of its doc_id, null too, neither hold it nor take it along.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (lang, score) in _told(batches, sent.value, False, SWITCH_PENALTY):
+            yield part.filter(pc.and_(pc.not_equal(lang, UNKNOWN), pc.greater_equal(score, LEAST_SCORE)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out_row(doc_id: int) -> bool:

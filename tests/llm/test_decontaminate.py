@@ -65,6 +65,16 @@ def test_documents_with_a_passage_go(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, *_ in docs} - {d for d, _ in _plain(docs, items)}
 
 
+def test_rows_go_not_ids(spark):
+    """Clean rows stay beside contaminated ones of their doc_id, null or repeated."""
+    items = spark.createDataFrame([(1, cases.BASE)], "item_id long, text string")
+    docs = [(None, cases.BASE, "en", "a"), (None, "clean", "en", "b"), (None, None, "en", "c"), (5, "clean " + cases.BASE, "en", "d"), (5, "clean", "en", "e"), (6, cases.BASE, "en", "f")]
+    frame = cases.documents(spark, docs)
+    kept = decontaminate.decontaminated(frame, items)
+    assert kept.columns == frame.columns
+    assert sorted(r.source for r in kept.collect()) == ["b", "c", "e"]
+
+
 def test_items_side_beyond_the_bound_is_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     docs, items = _planted()

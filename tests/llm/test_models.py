@@ -50,6 +50,18 @@ def test_language_spans_of_mixed_text(spark):
     assert all(a.end <= b.start for a, b in zip(spans, spans[1:]))
 
 
+def test_language_rejects_rows_not_ids(spark):
+    """Clean rows stay beside bad ones of their doc_id, null or repeated."""
+    text = "the quick brown fox jumps over the lazy dog"
+    docs = [(None, text, "en", "a"), (None, None, "en", "b"), (None, "123 456", "en", "c"), (7, text, "en", "d"), (7, "", "en", "e"), (8, text, "en", "f")]
+    docs += [(100 + i, text, "en", "g") for i in range(20)]
+    frame = cases.documents(spark, docs)
+    kept = language_id.accepted(frame)
+    assert kept.schema == frame.schema
+    want = sorted(repr((d, t, s)) for d, t, _, s in docs if t == text)
+    assert sorted(repr((r.doc_id, r.text, r.source)) for r in kept.collect()) == want
+
+
 def test_language_odd_rows(spark):
     rows = language_id.predicted(cases.documents(spark)).collect()
     assert len(rows) == len(cases.TEXTS)
