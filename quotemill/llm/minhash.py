@@ -11,10 +11,8 @@ Shingles of five words; two documents are linked if 100 * common >= 75 * togethe
    the largest component is held against TRIES members of that, which hashes pick; components again. In those
    that still are mixed the classes
    of different components are compared with each other, within tasks, by signature; a pair is told only where
-   its first shared bands lead. A large bucket that is one component but for a few strays is cut into blocks,
-   which meet the strays; another large one is split by a second band, and so on: similar sets share many
-   bands, so they meet again in the parts. What stays too large when bands run out is cut into blocks, and
-   each block is held against each.
+   its first shared band leads. A large bucket is cut into blocks, and each block of classes outside the
+   largest component is held against each block: whatever the size, no pair that shares a band is left out.
 4. Links found there join the others; components again.
 
 A pair at the threshold misses all of 24 bands with probability 2e-6.
@@ -28,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +44,8 @@ THRESHOLD = 75
 SHINGLE_WORDS = 5
 #: Members of a bucket that one task compares with each other.
 BUCKET = 1024
-#: Members outside its largest component up to which a large bucket is cut into blocks and not split by a further
-#: band: a split makes a row for each band that comes later, blocks make one for each BUCKET / 2 of these members.
+#: Members outside its largest component up to which a large bucket is cut into blocks of BUCKET / 2; with more, blocks
+#: have FEW members, as a member is sent once for each block it meets.
 FEW = 4096
 #: Signature agreement that leads to whole sets: the threshold less five standard errors.
 AGREEMENT = 0.6
@@ -58,8 +55,6 @@ TRIES = 3
 GROUP_BYTES, STEP = 32 << 20, 64
 #: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
 BROADCAST_ROWS = 250_000
-#: Splits of a large bucket by a further band, before it is cut into blocks.
-SPLITS = 3
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -247,28 +242,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "u long, v long").checkpoint()
 
 
-def _across(members: DataFrame, depth: int) -> DataFrame:
+def _across(members: DataFrame) -> DataFrame:
     """Pairs a < b of different components in one group whose signatures nearly agree.
-    members: group columns k1, k2, the band that led there last, and node, component, n, signature. A pair is
-    told if the `depth` bands that led there are the first that it shares. Pairs come as groups g, a, b, whose
-    sets take up to GROUP_BYTES.
+    members: group columns k1, k2, the band that led there, block, and node, component, n, signature. A pair is
+    told if the band that led there is the first that it shares; in a group of two blocks only members of different
+    ones meet. Pairs come as groups g, a, b, whose sets take up to GROUP_BYTES.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        node, part, n, band = (table.column(c).to_numpy() for c in ("node", "component", "n", "band"))
+        node, part, n, band, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "band", "block"))
         words, more = unpacked(table.column("signature").to_pylist())
         # members of the largest component come last: they needn't meet each other
         values, number, counts = np.unique(part, return_inverse=True, return_counts=True)
         order = np.argsort(number == counts.argmax(), kind="stable")
-        node, part, n, words, more = node[order], part[order], n[order], words[order], more[order]
+        node, part, n, words, more, block = node[order], part[order], n[order], words[order], more[order], block[order]
+        one_block = (block == block[0]).all()
         out, seen, room, piece = [np.zeros((3, 0), np.int64)], np.zeros(len(node), bool), GROUP_BYTES, 0
         for i in range(len(node) - int(counts.max())):
             rest = slice(i + 1, None)
             sizes = 100 * np.minimum(n[i], n[rest]) >= THRESHOLD * np.maximum(n[i], n[rest])
-            may = i + 1 + np.flatnonzero(sizes & (part[rest] != part[i]))
+            may = i + 1 + np.flatnonzero(sizes & (part[rest] != part[i]) & (one_block | (block[rest] != block[i])))
             same = words[may] == words[i]
             agree = (same.sum(axis=1) + (more[may] == more[i]).sum(axis=1)) / (BANDS * ROWS + MORE)
-            first = same.reshape(len(may), BANDS, ROWS).all(axis=2)[:, : band[0] + 1].sum(axis=1) == depth
+            first = same.reshape(len(may), BANDS, ROWS).all(axis=2)[:, : band[0] + 1].sum(axis=1) == 1
             near = may[(agree >= AGREEMENT) & first]
             for some in (near[j : j + STEP] for j in range(0, len(near), STEP)):
                 both = np.append(some, i)
@@ -293,11 +289,12 @@ def _blocks(members: DataFrame) -> DataFrame:
     The members of a bucket's largest component, linked already, needn't meet each other. Their blocks meet the
     blocks of the other members, and those meet each other.
     """
-    half = BUCKET // 2
+    strays = F.col("size") - F.col("n_major")
+    half = F.when(strays > FEW, FEW).otherwise(BUCKET // 2)
     dealt = members.withColumns(
         {
             "a": F.ceil(F.col("n_major") / half).cast("int"),
-            "b": F.ceil((F.col("size") - F.col("n_major")) / half).cast("int"),
+            "b": F.ceil(strays / half).cast("int"),
             "is_major": F.col("component") == F.col("major"),
             "at": F.xxhash64("node"),
         }
@@ -311,7 +308,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.select(
         F.xxhash64("k1", "k2", F.least("block", "other")).alias("k1"),
         F.xxhash64("k2", "k1", F.greatest("block", "other")).alias("k2"),
-        "band", "node", "component",
+        "band", "block", "node", "component",
     )
 
 
@@ -356,26 +353,12 @@ def _candidates(members: DataFrame, found: DataFrame, own: DataFrame) -> DataFra
     signature = own.select(F.col("rep").alias("node"), "n", "signature")
     left = members.select(F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "band", F.col("rep").alias("node"))
     left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    left, out = written(_mixed(left), "mixed"), []
-    for depth in range(1, SPLITS + 2):
-        small, large = left.where(F.col("size") <= BUCKET), left.where(F.col("size") > BUCKET)
-        out.append(_across(small.join(signature, "node"), depth))
-        few = F.col("size") - F.col("n_major") <= FEW if depth <= SPLITS else F.lit(True)
-        if large.isEmpty():
-            break
-        out.append(_across(_blocks(large.where(few)).join(signature, "node"), depth))
-        large = large.where(~few)
-        if large.isEmpty():
-            break
-        # the same bucket and one later band that members also share
-        later = members.select(F.col("rep").alias("node"), F.col("key"), F.col("band").alias("later"))
-        split = large.join(later, "node").where("later > band")
-        split = split.select(
-            F.xxhash64("k1", "k2", "key").alias("k1"), F.xxhash64("key", "k2", "k1").alias("k2"),
-            F.col("later").alias("band"), "node", "component",
-        )
-        left = written(_mixed(split), "mixed")
-    return reduce(DataFrame.unionByName, out).groupBy("a", "b").agg(F.min("g").alias("g")).select("g", "a", "b")
+    left = written(_mixed(left), "mixed")
+    small, large = left.where(F.col("size") <= BUCKET), left.where(F.col("size") > BUCKET)
+    out = _across(small.withColumn("block", F.lit(0)).join(signature, "node"))
+    if not large.isEmpty():
+        out = out.unionByName(_across(_blocks(large).join(signature, "node")))
+    return out.groupBy("a", "b").agg(F.min("g").alias("g")).select("g", "a", "b")
 
 
 def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:

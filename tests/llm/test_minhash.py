@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quotemill.llm import minhash
 from quotemill.llm.components import components
 
@@ -93,6 +96,25 @@ def test_large_buckets_are_split_and_cut(spark, monkeypatch):
     _check(spark, texts)
 
 
+def test_a_single_shared_band_is_enough_in_large_buckets(spark, monkeypatch):
+    """Pairs over the threshold that share one band only, in a bucket with more strays than FEW."""
+    monkeypatch.setattr(minhash, "BUCKET", 8)
+    monkeypatch.setattr(minhash, "FEW", 8)
+    rng = np.random.default_rng(4)
+    bands, rows = minhash.BANDS, minhash.ROWS
+    found = rng.integers(0, 1 << 32, (60, bands * rows + minhash.MORE), dtype=np.uint32)
+    for i in range(0, 60, 2):
+        found[i + 1] = found[i]
+        found[i + 1, rows : bands * rows : rows] += np.uint32(1)
+    found[:, :rows] = found[0, :rows]
+    own = spark.createDataFrame([(i, 100, minhash.packed_signatures(found)[i]) for i in range(60)], "rep long, n long, signature binary")
+    members = minhash._members(own)
+    shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    none = spark.createDataFrame([], "node long, component long")
+    got = minhash._candidates(members.join(shared, "key"), none, own).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, i + 1) for i in range(0, 60, 2)]
+
+
 def test_components_of_a_random_graph(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7), (None, 3)]
