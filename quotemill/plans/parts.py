@@ -64,6 +64,13 @@ def matcher_accuracy(spark, sf):
     return rounded(matching.accuracy(r, found), "top1", "top3", "false_positive")
 
 
+def matcher_accuracy_all_tiers(spark, sf):
+    """As matcher_accuracy, which has SQL and so no fuzzy tier, with all five tiers."""
+    r = tables.requests(spark, sf)
+    found, _ = matching.cascade(r, tables.catalog(spark, sf))
+    return rounded(matching.accuracy(r, found), "top1", "top3", "false_positive")
+
+
 def spec_spread(spark, sf):
     return spec.weights(spec.spread(spec.long_specs(tables.catalog(spark, sf))))
 
@@ -203,9 +210,8 @@ def sheet_letters(spark, sf):
     return tables.table(spark, sf, "part").select("p_partkey", units.column_letter(F.col("p_partkey").cast("int")).alias("letters"))
 
 
-def analyze(spark: SparkSession, sf: str) -> DataFrame:
-    """Match, price, heat and risk of every request."""
-    out = requests.analyzed(tables.requests(spark, sf), tables.catalog(spark, sf), tables.quotes(spark, sf), F.lit(TODAY).cast("date"), with_fuzzy=False)
+def _analysis(spark: SparkSession, sf: str, with_fuzzy: bool) -> DataFrame:
+    out = requests.analyzed(tables.requests(spark, sf), tables.catalog(spark, sf), tables.quotes(spark, sf), F.lit(TODAY).cast("date"), with_fuzzy)
     return out.select(
         "input_id", "input_string", "matched_mpn", "match_method", "confidence", "candidates", "manufacturer", "category",
         F.round("price_p50", 9).alias("price_p50"), F.round("forecast_price", 9).alias("forecast_price"), "volatility_flag",
@@ -213,21 +219,41 @@ def analyze(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def apply_overrides(spark, sf):
-    """Requests without a match, for which a person chose the stocked part of least number of their length."""
-    lines = analyze(spark, sf).select("input_id", "matched_mpn", "match_method", "confidence")
+def analyze(spark: SparkSession, sf: str) -> DataFrame:
+    """Match by the four tiers of equalities, which SQL can say, price, heat and risk of every request."""
+    return _analysis(spark, sf, with_fuzzy=False)
+
+
+def analyze_all_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """Match by all five tiers, price, heat and risk of every request."""
+    return _analysis(spark, sf, with_fuzzy=True)
+
+
+def _overridden(spark: SparkSession, sf: str, analysis: DataFrame) -> DataFrame:
+    lines = analysis.select("input_id", "matched_mpn", "match_method", "confidence")
     chosen = tables.catalog(spark, sf).where("authorized_stock > 0").agg(F.min("mpn").alias("chosen_matched_mpn"))
     picks = lines.where("matched_mpn IS NULL").select("input_id").join(F.broadcast(chosen))
     return requests.overridden(lines, picks)
 
 
+def apply_overrides(spark, sf):
+    """Requests that no equality matches, for which a person chose the stocked part of least number."""
+    return _overridden(spark, sf, analyze(spark, sf))
+
+
+def apply_overrides_all_tiers(spark, sf):
+    """Requests that none of the five tiers matches, for which a person chose the stocked part of least number."""
+    return _overridden(spark, sf, analyze_all_tiers(spark, sf))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_inputs, input_variants, rules_applied, match_tiers, match_cascade, match_near_miss, matcher_accuracy, spec_spread,
         alternates, spec_intersection, risk_scores, risk_reasons, band_methods_diff, verify_catalog, catalog_summary, rfq_list,
         rfq_detail, rfq_total, line_cap, panel_counts, line_item_sink, union_dedupe, integrity_checks, stratified_sample,
-        price_labels, price_tier, sheet_letters, analyze, apply_overrides,
+        price_labels, price_tier, sheet_letters, analyze, apply_overrides, matcher_accuracy_all_tiers, analyze_all_tiers,
+        apply_overrides_all_tiers,
     )
 } | {"match_exact": match_exact, "match_variant": match_variant, "match_prefix": match_prefix, "match_base": match_base}
 

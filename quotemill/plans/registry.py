@@ -20,5 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis of all requests: match, price, heat and risk of each line."""
-    return parts.analyze(spark, sf_dir)
+    """The whole analysis of all requests: match by all tiers, price, heat and risk of each line."""
+    return parts.analyze_all_tiers(spark, sf_dir)

@@ -6,7 +6,10 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from quotemill.functions import part_numbers, similarity
+from quotemill.operators import matching
 from quotemill.plans import registry
+from quotemill.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -47,6 +50,25 @@ def test_rows_without_sql(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_analysis_with_all_tiers(spark):
+    """Requests that no equality finds, against scoring every key."""
+    keys = {r.part_key for r in matching.keyed(tables.catalog(spark, SF)).select("part_key").distinct().collect()}
+    asked = {r.input_id: r.key for r in part_numbers.normalized(tables.requests(spark, SF)).select("input_id", "key").collect()}
+    equal = {r.input_id: (r.matched_mpn, r.match_method) for r in registry.queries()["analyze"](spark, SF).collect()}
+    rows = {r.input_id: r for r in registry.flagship(spark, SF).collect()}
+    assert set(rows) == set(equal)
+    left = [i for i, (mpn, _) in equal.items() if mpn is None]
+    near = {i for i in left if asked[i] and max(similarity.score(asked[i], k) for k in keys) >= matching.FUZZY_LEAST}
+    assert near
+    assert {i for i, r in rows.items() if r.match_method == "fuzzy"} == near
+    assert all(r.matched_mpn and r.risk_score is not None and r.candidates > 0 for i, r in rows.items() if i in near)
+    assert all((r.matched_mpn, r.match_method) == equal[i] for i, r in rows.items() if i not in near)
+    chosen = {r.input_id: r for r in registry.queries()["apply_overrides_all_tiers"](spark, SF).collect()}
+    assert all((chosen[i].matched_mpn, chosen[i].match_method) == (rows[i].matched_mpn, "fuzzy") for i in near)
+    told = registry.queries()["matcher_accuracy_all_tiers"](spark, SF).agg({"n": "sum"}).first()[0]
+    assert told == len(rows)
+
+
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
