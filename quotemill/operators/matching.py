@@ -15,6 +15,8 @@ from quotemill.functions.risk import is_dead
 
 CANDIDATES, NEAR_MISSES, PREFIX_LEAST = 10, 3, 6
 FUZZY_LEAST, FUZZY_LOW, FUZZY_HIGH = 82.0, 0.5, 0.8
+#: Requests, and catalog keys, that a task of the fuzzy tier holds at about; and the least number of blocks of keys.
+BLOCK, KEY_BLOCKS = 4096, 16
 
 
 def keyed(catalog: DataFrame) -> DataFrame:
@@ -113,16 +115,28 @@ def best_keys(query: str, own: np.ndarray, keys: list[str], signs: np.ndarray, l
     return [(-s, k) for s, k in found]
 
 
+def fuzzy_blocks(inputs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests (input_id, query) and catalog keys (part_key), each with r and k: a block of requests meets a block of keys.
+
+    Both sides are counted first, so that a block holds about BLOCK of either, at any size.
+    """
+    keys = catalog.select("part_key").distinct()
+    wanted = inputs.where("key <> ''").select("input_id", F.col("key").alias("query"))
+    many_keys = max(KEY_BLOCKS, -(-keys.count() // BLOCK))
+    many = max(1, -(-wanted.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    wanted = wanted.withColumn("r", F.pmod(F.xxhash64("input_id", "query"), F.lit(many))).withColumn("k", every(many_keys))
+    keys = keys.withColumn("k", F.pmod(F.xxhash64("part_key"), F.lit(many_keys))).withColumn("r", every(many))
+    return wanted, keys
+
+
 def fuzzy_scores(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """input_id, key_rank, score, part_key: each input's most alike keys.
 
-    Catalog keys are dealt to blocks, and each input meets every block once; a block's best are merged. Inputs
-    that get here are those that no equality found.
+    Inputs and catalog keys are dealt to blocks, and each input meets every block of keys once; their best are
+    merged. Inputs that get here are those that no equality found.
     """
-    blocks = 16
-    keys = catalog.select("part_key").distinct().withColumn("block", F.pmod(F.xxhash64("part_key"), F.lit(blocks)))
-    wanted = inputs.where("key <> ''").select("input_id", F.col("key").alias("query"))
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    wanted, keys = fuzzy_blocks(inputs, catalog)
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         names = sorted(there["part_key"])
@@ -134,7 +148,7 @@ def fuzzy_scores(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES)
                 out += [(i, s, k) for i in group["input_id"] for s, k in best]
         return pd.DataFrame(out, columns=["input_id", "score", "part_key"])
 
-    found = wanted.groupBy("block").cogroup(keys.groupBy("block")).applyInPandas(run, "input_id long, score double, part_key string")
+    found = wanted.groupBy("r", "k").cogroup(keys.groupBy("r", "k")).applyInPandas(run, "input_id long, score double, part_key string")
     rank = F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc("score"), "part_key"))
     return found.withColumn("key_rank", rank).where(F.col("key_rank") <= most)
 

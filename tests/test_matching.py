@@ -78,6 +78,25 @@ def test_near_misses_are_for_inputs_without_candidates(matched):
     assert len({r.mpn for r in matched[1]}) <= matching.NEAR_MISSES
 
 
+def test_fuzzy_tasks_hold_a_block_of_requests(spark, monkeypatch):
+    """Blocks follow the number of requests and keys, and lose no pair."""
+    monkeypatch.setattr(matching, "BLOCK", 8)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ABCDE01234") for _ in range(rng.randrange(5, 12)))
+    keys, asked = sorted({word() for _ in range(200)}), [(i, word()) for i in range(120)]
+    inputs = spark.createDataFrame(asked, "input_id long, key string")
+    catalog = spark.createDataFrame([(k,) for k in keys], "part_key string")
+    sides = matching.fuzzy_blocks(inputs, catalog)
+    for side in sides:
+        assert max(r["count"] for r in side.groupBy("r", "k").count().collect()) <= 4 * matching.BLOCK
+    got = sorted((r.input_id, r.key_rank, r.part_key) for r in matching.fuzzy_scores(inputs, catalog, 3).collect())
+    want = []
+    for i, query in asked:
+        best = sorted((-similarity.score(query, k), k) for k in keys)[:3]
+        want += [(i, n + 1, k) for n, (_, k) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_normalising_is_stable(spark):
     rows = [(i, t) for i, t, *_ in INPUTS]
     once = part_numbers.normalized(spark.createDataFrame(rows, "input_id long, input_string string"))
