@@ -25,8 +25,13 @@ def normalize_inputs(spark, sf):
 
 
 def input_variants(spark, sf):
-    """Other readings of the keys with one or two places to misread, in order."""
-    return _inputs(spark, sf).select("input_id", F.posexplode("variants").alias("at", "variant")).where("at < 1")
+    """The first other reading of each key, as its SQL has it."""
+    return input_variants_all(spark, sf).where("at < 1")
+
+
+def input_variants_all(spark, sf):
+    """Other readings of the keys with one to six places to misread, up to eight, in order."""
+    return _inputs(spark, sf).select("input_id", F.posexplode("variants").alias("at", "variant"))
 
 
 def rules_applied(spark, sf):
@@ -249,7 +254,7 @@ def apply_overrides_all_tiers(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_inputs, input_variants, rules_applied, match_tiers, match_cascade, match_near_miss, matcher_accuracy, spec_spread,
+        normalize_inputs, input_variants, input_variants_all, rules_applied, match_tiers, match_cascade, match_near_miss, matcher_accuracy, spec_spread,
         alternates, spec_intersection, risk_scores, risk_reasons, band_methods_diff, verify_catalog, catalog_summary, rfq_list,
         rfq_detail, rfq_total, line_cap, panel_counts, line_item_sink, union_dedupe, integrity_checks, stratified_sample,
         price_labels, price_tier, sheet_letters, analyze, apply_overrides, matcher_accuracy_all_tiers, analyze_all_tiers,

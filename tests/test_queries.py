@@ -1,5 +1,6 @@
 """Every query over the warehouse tables, against its SQL in DuckDB."""
 
+import itertools
 import math
 from decimal import Decimal
 
@@ -69,6 +70,20 @@ def test_analysis_with_all_tiers(spark):
     assert told == len(rows)
 
 
+def test_all_readings(spark):
+    """Every reading of a key, by trying all; not only the first."""
+    swap = {"O": "0", "0": "O", "I": "1", "1": "I"}
+    want = set()
+    for r in registry.queries()["normalize_inputs"](spark, SF).select("input_id", "key").collect():
+        key = r.key or ""
+        if 1 <= sum(c in swap for c in key) <= 6:
+            readings = sorted({"".join(x) for x in itertools.product(*[(c, swap[c]) if c in swap else (c,) for c in key])} - {key})
+            want |= {(r.input_id, at, x) for at, x in enumerate(readings[:8])}
+    got = registry.queries()["input_variants_all"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.input_id, r.at, r.variant) for r in got} == want
+    assert max(at for _, at, _ in want) == 7
+
+
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
