@@ -4,10 +4,11 @@ Token t of a block is step t // lanes of lane t % lanes. All lanes advance toget
 numpy operations. A lane's state stays in [2**31, 2**63); it gives or takes one 32-bit word at a time.
 
 A block is bytes, little-endian:
-    magic 'QTB1', documents u32, tokens u64, lanes u32, steps between checkpoints u32, checkpoints u32,
+    magic 'QTB2', documents u32, tokens u64, lanes u32, steps between checkpoints u32, checkpoints u32,
     words u32, crc32 of the ids u32, crc32 of all that follows u32,
     null marks u8 a document, doc_ids i64 a document, lengths u32 a document,
-    checkpoints: word position u64 and lane states u64 (the first is the block's start),
+    checkpoints: word position u64, crc32 of the ids up to the next one u32, and lane states u64 (the first is the
+    block's start),
     words u32.
 """
 
@@ -19,8 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"QTB1"
-_HEAD = struct.Struct("<4sIQIIIIII")
+MAGIC = b"QTB2"
+_HEAD, _POINT = struct.Struct("<4sIQIIIIII"), struct.Struct("<QI")
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MASK32 = np.uint64(0xFFFFFFFF)
@@ -54,6 +55,10 @@ def table(counts: np.ndarray, bits: int = 20) -> Table:
     return Table(bits, freq.astype(np.uint64), start.astype(np.uint64))
 
 
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
+
+
 def _lanes(tokens: int) -> int:
     return max(1, min(1024, tokens // 64))
 
@@ -88,13 +93,13 @@ def encode_block(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int],
             np.array([d is None for d in doc_ids], np.uint8).tobytes(),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array(lengths, "<u4").tobytes(),
-            *(struct.pack("<Q", int(before[s])) + x.astype("<u8").tobytes() for s, x in reversed(saved)),
+            *(_POINT.pack(int(before[s]), _crc(ids[s * lanes : (s + every) * lanes])) + x.astype("<u8").tobytes() for s, x in reversed(saved)),
             stream,
         ]
     )
     head = _HEAD.pack(
         MAGIC, len(doc_ids), n, lanes, every, len(saved), len(stream) // 4,
-        zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body),
+        _crc(ids), zlib.crc32(body),
     )
     return head + body
 
@@ -118,15 +123,16 @@ class Block:
         at += 4 * docs
         self._points = []
         for _ in range(points):
-            at_word = struct.unpack_from("<Q", raw, at)[0]
-            self._points.append((at_word, np.frombuffer(raw, "<u8", self.lanes, at + 8)))
-            at += 8 + 8 * self.lanes
+            at_word, own = _POINT.unpack_from(raw, at)
+            self._points.append((at_word, np.frombuffer(raw, "<u8", self.lanes, at + _POINT.size), own))
+            at += _POINT.size + 8 * self.lanes
         self._stream = np.frombuffer(raw, "<u4", words, at)
 
     def decode(self, t: Table, symbols: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids of steps from `first` up to `last`; begins at the checkpoint before `first`.
 
-        Parts of a block can be decoded apart from each other. A whole block is held against its checksum.
+        Parts of a block can be decoded apart from each other. Each whole stretch between checkpoints is held against
+        its checksum, and a whole block against its own.
         """
         steps = -(-self.tokens // self.lanes)
         last = steps if last is None else min(last, steps)
@@ -135,6 +141,7 @@ class Block:
         k = first // self.every
         pos, state = self._points[k][0], self._points[k][1].astype(np.uint64)
         out, bits, mask = [], np.uint64(t.bits), np.uint64((1 << t.bits) - 1)
+        stretch = []
         for s in range(k * self.every, last):
             width = min(self.lanes, self.tokens - s * self.lanes)
             x = state[:width]
@@ -147,17 +154,32 @@ class Block:
                 x[short] = (x[short] << _WORD) | self._stream[pos : pos + m].astype(np.uint64)
                 pos += m
             state[:width] = x
+            stretch.append(sym)
             if s >= first:
                 out.append(sym)
+            if (s + 1) % self.every == 0 or s + 1 == steps:
+                self._hold(np.concatenate(stretch), self._points[s // self.every][2])
+                stretch = []
         ids = np.concatenate(out)
-        if first == 0 and last == steps and zlib.crc32(ids.astype("<u4").tobytes()) != self.ids_crc:
-            raise ValueError("a block of token ids decodes to other ids than were encoded")
+        if first == 0 and last == steps:
+            self._hold(ids, self.ids_crc)
         return ids
 
-    def document(self, t: Table, symbols: np.ndarray, k: int) -> np.ndarray:
-        """The ids of the block's k-th document, without decoding what ends before its checkpoint."""
-        start = int(self.lengths[:k].sum())
-        stop = start + int(self.lengths[k])
-        first = start // self.lanes
+    def _hold(self, ids: np.ndarray, crc: int) -> None:
+        if _crc(ids) != crc:
+            raise ValueError("a block of token ids decodes to other ids than were encoded")
+
+    def documents(self, t: Table, symbols: np.ndarray, part: int = 0, parts: int = 1) -> tuple[int, int, np.ndarray]:
+        """Documents i up to j that begin in one of `parts` equal shares of the block's checkpoints, and their ids.
+
+        Shares can be decoded in different tasks, each from its own checkpoint; together they are all documents.
+        """
+        step = self.every * self.lanes * -(-len(self._points) // parts)
+        starts = np.cumsum(self.lengths) - self.lengths
+        i, j = np.searchsorted(starts, [part * step, (part + 1) * step])
+        if i == j:
+            return int(i), int(j), np.zeros(0, np.uint32)
+        begin, stop = int(starts[i]), int(starts[j - 1] + self.lengths[j - 1])
+        first = begin // self.lanes
         ids = self.decode(t, symbols, first, -(-stop // self.lanes))
-        return ids[start - first * self.lanes : stop - first * self.lanes]
+        return int(i), int(j), ids[begin - first * self.lanes : stop - first * self.lanes]

@@ -71,7 +71,7 @@ def text_blocks(
 
 
 def string_blocks(
-    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """As text_blocks, with texts as strings and the limit in characters."""
     for batch in batches:

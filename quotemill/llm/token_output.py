@@ -1,12 +1,14 @@
 """Operator 2: token ids as entropy-coded binary blocks.
 
-Texts become ids; the ids of all documents are counted; one static table of frequencies, shared by all
-blocks, codes them with interleaved asymmetric numeral systems (see rans). Blocks are independent, each holds
-whole documents in ascending doc_id order, checkpoints and checksums. The container is Parquet, one row a
-block, so that any store that Spark reaches can hold it; the table of frequencies lies beside the blocks.
-
-Null text: an empty one. Null doc_id: comes first, and stays null. Rows with one doc_id: all kept, ordered by
-their ids' checksum. Empty input: no blocks. Other columns are ignored.
+Documents are dealt to ranges of doc_id and sorted; each task tokenizes its range, writes blocks of whole documents
+with plain ids, and counts ids. The counts of all documents make one static table of frequencies, shared by all
+blocks, that codes them with interleaved asymmetric numeral systems (see rans). Blocks are independent, in ascending
+doc_id order, with checkpoints and checksums. The container is Parquet, one row a block, so that any store that
+Spark reaches can hold it; the table of frequencies, with a checksum, lies beside the blocks.
+
+Null text: an empty one. Null doc_id: comes first, and stays null. Rows with one doc_id: all kept, ordered by a hash
+of their texts; equal rows are alike, whatever their order. A very long text: a block of its own, or of what came
+before it too; a task holds a few of its copies. Empty input: no blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,56 +28,66 @@ from .tokenization import END_ID, default_vocabulary, encoder
 
 #: A block is closed at the document that brings it to so many ids.
 BLOCK_TOKENS = 1 << 20
+_PLAIN = "segment int, block int, n_docs long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
+_BLOCK = "segment int, block int, n_docs long, n_tokens long, payload binary"
+_TABLE = "ids binary, counts binary, crc long"
 
 
-def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, crc (of the ids as unsigned 32-bit integers), ids (compressed); with the end id."""
+def tokenized(docs: DataFrame, vocabulary: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Blocks of plain ids, 16 bits each if the vocabulary allows, with end ids; and a row a task with its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoder(vocabulary).encode, zstandard.ZstdCompressor(level=1).compress
-        end = np.array([END_ID], "<u4").tobytes()
-        for part, texts in string_blocks(batches):
-            ids = [x + end for x in encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array([pack(_narrow(x)) for x in ids], pa.binary()),
-                ],
-                ["doc_id", "n_tokens", "crc", "ids"],
-            )
+        from pyspark import TaskContext
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, crc long, ids binary")
+        segment, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
+        size = max(encoder(vocabulary).vocabulary_size, END_ID + 1)
+        end, kind = np.array([END_ID], "<u4").tobytes(), np.uint16 if size <= 1 << 16 else np.uint32
+        counts, block, ids, names, held = np.zeros(size, np.int64), 0, [], [], 0
 
+        def row(*values) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            columns = "segment block n_docs n_tokens doc_ids lengths ids counts".split()
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((segment, *values), kinds)], columns)
 
-def _narrow(ids: bytes) -> bytes:
-    """Byte planes of the ids: the low bytes, then the second ones and so on, without planes of zeros."""
-    planes = np.frombuffer(ids, np.uint8).reshape(-1, 4)
-    used = 4 if planes[:, 3].any() else 3 if planes[:, 2].any() else 2
-    return bytes([used]) + np.ascontiguousarray(planes[:, :used]).tobytes()
+        def close() -> pa.RecordBatch:
+            nonlocal counts
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            counts += np.bincount(flat, minlength=size)
+            return row(block, len(names), len(flat), names, [len(x) // 4 for x in ids], flat.astype(kind).tobytes(), None)
 
+        for part, texts in string_blocks(batches):
+            for name, x in zip(part.column("doc_id").to_pylist(), encode(texts)):
+                ids.append(x + end)
+                names.append(name)
+                held += len(ids[-1]) // 4
+                if held >= block_tokens:
+                    yield close()
+                    block, ids, names, held = block + 1, [], [], 0
+        if names:
+            yield close()
+        if counts.any():
+            yield row(None, None, None, None, None, None, counts.tobytes())
 
-def _wide(raw: bytes) -> np.ndarray:
-    used = raw[0]
-    planes = np.zeros((len(raw) // used, 4), np.uint8)
-    planes[:, :used] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, used)
-    return planes.reshape(-1).view("<u4").astype(np.uint32)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    # the hash splits a doc_id, or none, that many rows share
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    return ordered.select("doc_id", "text").mapInArrow(run, _PLAIN)
 
 
-def token_counts(tokens: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs in all documents: counted in the tasks, added by Spark, one row an id."""
+def token_counts(plain: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents: added in the tasks, then by Spark, one row an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, counts = zstandard.ZstdDecompressor().decompress, np.zeros(size, np.int64)
+        counts = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                counts += np.bincount(_wide(unpack(raw)), minlength=size)
+            for raw in batch.column("counts"):
+                counts += np.frombuffer(raw.as_buffer(), np.int64)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], ["id", "n"])
 
-    sums = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = plain.select("counts").where("counts IS NOT NULL")
+    sums = found.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(size, np.int64)
     for row in sums.toLocalIterator():  # one row an id of the vocabulary, however large the input
         counts[row.id] = row.n
@@ -86,63 +97,45 @@ def token_counts(tokens: DataFrame, size: int) -> np.ndarray:
 def write_blocks(docs: DataFrame, path: str, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes path/blocks and path/table."""
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
-    tokens = written(tokenized(docs, vocabulary), "tokens")
-    counts = token_counts(tokens, max(encoder(vocabulary).vocabulary_size, END_ID + 1))
-    spark.createDataFrame(
-        [(int(i), int(counts[i])) for i in np.flatnonzero(counts)], "id int, n long"
-    ).coalesce(1).write.parquet(f"{path}/table")
+    plain = written(tokenized(docs, vocabulary, block_tokens), "tokens")
+    counts = token_counts(plain, max(encoder(vocabulary).vocabulary_size, END_ID + 1))
+    seen = np.flatnonzero(counts)
+    ids, numbers = seen.astype("<u4").tobytes(), counts[seen].astype("<i8").tobytes()
+    spark.createDataFrame([(ids, numbers, zlib.crc32(ids + numbers))], _TABLE).coalesce(1).write.parquet(f"{path}/table")
     coding = rans.table(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        segment, block = TaskContext.get().partitionId(), 0
-        unpack = zstandard.ZstdDecompressor().decompress
-        ids, names, lengths, held = [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            raw = rans.encode_block(np.concatenate(ids), names, lengths, coding)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([segment], pa.int32()), pa.array([block], pa.int32()), pa.array([len(names)], pa.int64()),
-                    pa.array([held], pa.int64()), pa.array([raw], pa.binary()),
-                ],
-                ["segment", "block", "n_docs", "n_tokens", "payload"],
-            )
-
         for batch in batches:
-            for name, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                ids.append(_wide(unpack(raw)))
-                names.append(name)
-                lengths.append(len(ids[-1]))
-                held += lengths[-1]
-                if held >= block_tokens:
-                    yield close()
-                    ids, names, lengths, held, block = [], [], [], 0, block + 1
-        if names:
-            yield close()
-
-    # the checksum splits a doc_id, or none, that many rows share
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = tokens.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
-    blocks = ordered.select("doc_id", "ids").mapInArrow(
-        run, "segment int, block int, n_docs long, n_tokens long, payload binary"
-    )
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], np.uint16 if len(row["ids"]) == 2 * row["n_tokens"] else np.uint32)
+                raw = rans.encode_block(ids.astype(np.uint32), row["doc_ids"], row["lengths"], coding)
+                values = [[row[c]] for c in ("segment", "block", "n_docs", "n_tokens")]
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, k) for v, k in zip([*values, [raw]], kinds)], ["segment", "block", "n_docs", "n_tokens", "payload"]
+                )
+
+    blocks = plain.drop("counts").where("block IS NOT NULL").mapInArrow(run, _BLOCK)
     blocks.write.parquet(f"{path}/blocks")
 
 
 def read_table(spark: SparkSession, path: str) -> rans.Table:
-    rows = spark.read.schema("id int, n long").parquet(f"{path}/table").toPandas()  # bounded by the vocabulary
-    counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 1, np.int64)
-    counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    row = spark.read.schema(_TABLE).parquet(f"{path}/table").first()  # bounded by the vocabulary
+    if zlib.crc32(bytes(row.ids) + bytes(row.counts)) != row.crc:
+        raise ValueError("the table of frequencies is damaged: its checksum differs")
+    ids = np.frombuffer(row.ids, "<u4")
+    counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+    counts[ids] = np.frombuffer(row.counts, "<i8")
     return rans.table(counts)
 
 
-def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the blocks; ids too if asked for."""
+def read_documents(spark: SparkSession, path: str, with_ids: bool = False, shares: int = 1) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the blocks; ids too if asked for.
+
+    shares: tasks may decode so many shares of a block apart, each from its own checkpoint.
+    """
     coding = read_table(spark, path)
-    schema = "segment int, block int, n_docs long, n_tokens long, payload binary"
-    blocks = spark.read.schema(schema).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCK).parquet(f"{path}/blocks")
     # a row a segment, so the running sum over segments is short
     sizes = blocks.groupBy("segment").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
@@ -159,15 +152,17 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = coding.symbols()
         for batch in batches:
-            for start, raw in zip(batch.column("block_start").to_pylist(), batch.column("payload").to_pylist()):
-                block = rans.Block(raw)
-                ids = block.decode(coding, symbols).astype("<u4")
-                stops = np.cumsum(block.lengths)
-                each = [ids[j - n : j].tobytes() for j, n in zip(stops.tolist(), block.lengths.tolist())]
+            for at, share, raw in zip(batch.column("block_start").to_pylist(), batch.column("share").to_pylist(), batch.column("payload")):
+                block = rans.Block(raw.as_py())
+                i, j, ids = block.documents(coding, symbols, share, shares)
+                lengths = block.lengths[i:j]
+                stops, start = np.cumsum(lengths), at + int(block.lengths[:i].sum())
+                flat = ids.astype("<u4").tobytes()
+                each = [flat[4 * (k - n) : 4 * k] for k, n in zip(stops.tolist(), lengths.tolist())]
                 columns = [
-                    pa.array(block.doc_ids, pa.int64()),
-                    pa.array(start + stops - block.lengths, pa.int64()),
-                    pa.array(block.lengths, pa.int64()),
+                    pa.array(block.doc_ids[i:j], pa.int64()),
+                    pa.array(start + stops - lengths, pa.int64()),
+                    pa.array(lengths, pa.int64()),
                     pa.array([zlib.crc32(x) for x in each], pa.int64()),
                 ]
                 if with_ids:
@@ -176,11 +171,14 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return blocks.join(offsets, ["segment", "block"]).select("block_start", "payload").mapInArrow(run, schema)
+    placed = blocks.join(offsets, ["segment", "block"])
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))) if shares > 1 else F.lit(0)
+    placed = placed.select("block_start", share.alias("share"), "payload")
+    return (placed.repartition("block_start", "share") if shares > 1 else placed).mapInArrow(run, schema)
 
 
-def token_files(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def token_files(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False, shares: int = 1) -> DataFrame:
     """Writes the documents' blocks to a new folder in the shared one and reads them back."""
     path = f"{shared_folder(docs.sparkSession)}/quotemill/token-files-{uuid.uuid4().hex}"
     write_blocks(docs, path, vocabulary)
-    return read_documents(docs.sparkSession, path, with_ids)
+    return read_documents(docs.sparkSession, path, with_ids, shares)

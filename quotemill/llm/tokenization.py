@@ -1,20 +1,32 @@
-"""Token ids by the tokenizers library, with a cache of what stands between spaces.
+"""Token ids by the tokenizers library, with a cache of what stands between blanks.
 
-The vocabulary is byte-level and its pattern never joins a space and the sign after it with what stands
-before. So a text can be cut before every space that a sign follows, each part encoded alone, and the ids
-joined, with the same result as for the whole text. Parts repeat, so most come from a cache.
+The vocabulary is byte-level and its pattern joins a space to the word after it and nothing to what stands
+before; a line feed before a word is a token of its own. So a text can be cut before every space and line feed
+that another sign follows, each part encoded alone, and the ids joined, with the same result as for the whole
+text. Parts repeat, so most come from a cache. The cache is bounded in bytes; when it is full, the parts that
+came only once go first. Long parts, as in texts without blanks, are never kept.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Starts a space that cannot be a cut, as white space follows.
-_WIDE = re.compile(r" \s")
-_CUT = re.compile(r" (?=\S)")
+#: White space beside white space, at an end or of another kind: such a text is cut by search, others by splitting.
+_WIDE = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \\n][ \\n]|[ \\n]\\z"
+_CUT = re.compile(r" (?=\S)|(?=\n\S)")
+#: A word of Latin letters, which is one piece of the vocabulary's pattern, and signs after it, which are one.
+_WORD = "^\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+\\z"
+_SIGNS_AFTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of parts and their ids that a cache may hold, and what an entry takes beside them.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 230
+#: Characters of the longest part that is kept.
+LONGEST_KEPT = 64
 
 
 def _byte_signs() -> dict[int, int]:
@@ -24,8 +36,8 @@ def _byte_signs() -> dict[int, int]:
     return {b: b for b in printed} | {b: 256 + i for i, b in enumerate(others)}
 
 
-_SIGNS = _byte_signs()
-_SPACE = chr(_SIGNS[32])
+#: The sign of each byte, but for the line feed that parts words.
+_SIGNS = np.array([10 if b == 10 else sign for b, sign in sorted(_byte_signs().items())], "<u4")
 #: The id that ends each document.
 END_ID = 2
 
@@ -47,9 +59,9 @@ def _byte_lengths(tokenizer) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Holds up to `most` parts; then it starts anew."""
+    """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, vocabulary: str, most: int = 450_000):
+    def __init__(self, vocabulary: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -60,78 +72,136 @@ class Encoder:
         # the same model, fed with words in the model's spelling of bytes
         self._words = Tokenizer.from_file(vocabulary)
         self._words.pre_tokenizer = CharDelimiterSplit("\n")
-        self._marks = dict(zip(".,;:!?", self._whole(list(".,;:!?"))))
+        self._feed = self._whole(["\n"])[0]
+        self._tails: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
-        self._most = most
+        self._once: set[str] = set()  # parts that no later block has asked for again
+        self._held, self._room = 0, cache_bytes
         self.vocabulary_size = len(self._lengths)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _cut(self, ids: np.ndarray, sizes: list[int]) -> list[bytes]:
-        """ids cut where so many bytes of text end."""
+    def _pieces(self, tokenizer, text: str, sizes: np.ndarray) -> pa.Array:
+        """The ids of the text, cut where so many bytes of text end."""
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends, edges = np.cumsum(self._lengths[ids]), np.cumsum(sizes)
         cuts = np.searchsorted(ends, edges) + 1
         if not len(ids) or ends[-1] != edges[-1] or not np.array_equal(ends[cuts - 1], edges):
             raise ValueError("the vocabulary isn't byte-level: ids don't add up to the text")
-        raw, stops = ids.tobytes(), (4 * cuts).tolist()
-        return [raw[i:j] for i, j in zip([0, *stops], stops)]
+        stops = pa.array(4 * np.concatenate([[0], cuts]), pa.int32())
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, stops.buffers()[1], pa.py_buffer(ids.tobytes())])
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encodes the parts, each after a space, and keeps their ids.
+    def _learned(self, parts: pa.Array) -> pa.Array:
+        """The ids of parts, each after a space or with the line feed that it begins with.
 
-        A part of letters alone, or with one mark after them, is one or two words of the pattern: those
-        words go to the model without the pattern's search, a mark's ids stand ready.
+        A Latin word with or without signs after it is one or two pieces of the pattern: words go to the model
+        without the pattern's search, and the ids of signs stand ready once they were met.
         """
-        marked, words, rest = [], [], []
-        for part in parts:
-            stem = part[:-1] if part[-1] in self._marks else part
-            if not stem.isalpha():
-                rest.append(part)
-            elif stem is part:
-                words.append(part)
-            else:
-                marked.append((part, stem))
-        known = self._parts
-        words = list({*words, *(stem for _, stem in marked if stem not in known)})
-        if words:
-            spelt = [_SPACE + (x if x.isascii() else x.encode().decode("latin-1").translate(_SIGNS)) for x in words]
-            ids = np.array(self._words.encode_batch_fast(["\n".join(spelt)], add_special_tokens=False)[0].ids, "<u4")
-            known.update(zip(words, self._cut(ids, list(map(len, spelt)))))
-        if rest:
-            joined = " " + " ".join(rest)
-            ids = np.array(self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-            known.update(zip(rest, self._cut(ids, [len(p.encode("utf-8")) + 1 for p in rest])))
-        for part, stem in marked:
-            known[part] = known[stem] + self._marks[part[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without an end id."""
-        plain = [i for i, x in enumerate(texts) if not any(s in x for s in self._special)]
+        stems = pc.utf8_rtrim(parts, _SIGNS_AFTER)
+        simple = pc.match_substring_regex(stems, _WORD)
+        feeds = pc.starts_with(parts, "\n")
+        spaced = pc.if_else(feeds, parts, pc.binary_join_element_wise(" ", parts, ""))
+        out = []
+        rest = spaced.filter(pc.invert(simple))
+        if len(rest):
+            out.append(self._pieces(self._tokenizer, "".join(_listed(rest)), pc.binary_length(rest).to_numpy()))
+        if len(rest) < len(parts):
+            own, stems, feeds = parts.filter(simple), stems.filter(simple), feeds.filter(simple)
+            coded = pc.if_else(feeds, stems, pc.binary_join_element_wise(" ", stems, "")).dictionary_encode()
+            words = pc.utf8_ltrim(coded.dictionary, "\n")
+            spelt = _SIGNS[np.frombuffer("\n".join(_listed(words)).encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = self._pieces(self._words, spelt, pc.binary_length(words).to_numpy()).take(coded.indices)
+            ids = pc.binary_join_element_wise(pc.if_else(feeds, self._feed, b""), ids, b"")
+            marked = pc.not_equal(pc.binary_length(own), pc.binary_length(stems))
+            if pc.any(marked).as_py():
+                places = pc.utf8_length(stems.filter(marked)).to_numpy().tolist()
+                tails = [p[k:] for p, k in zip(_listed(own.filter(marked)), places)]
+                ids = pc.replace_with_mask(ids, marked, pc.binary_join_element_wise(ids.filter(marked), self._signs(tails), b""))
+            out.append(ids)
+        at = np.argsort(np.concatenate([np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (pc.invert(simple), simple)]))
+        return pa.concat_arrays(out).take(pa.array(at))
+
+    def _signs(self, tails: list[str]) -> pa.Array:
+        """The ids of signs that stand after words."""
+        new = list({*tails}.difference(self._tails))
+        if new:
+            if len(self._tails) + len(new) > 1 << 16:
+                self._tails, new = {}, list({*tails})
+            self._tails.update(zip(new, self._whole(new)))
+        return pa.array([self._tails[x] for x in tails], pa.binary())
+
+    def _settle(self, need: list[str], learned: dict[str, bytes]) -> None:
+        """Keeps what a block learned; if the cache is over its bytes, what came once goes; if that isn't enough, all."""
+        self._once.difference_update(need)
+        short = {p: ids for p, ids in learned.items() if len(p) <= LONGEST_KEPT}
+        self._parts.update(short)
+        self._once.update(short)
+        self._held += _size(short)
+        if self._held > self._room:
+            for part in self._once:
+                del self._parts[part]
+            self._once = set()
+            self._held = _size(self._parts)
+            if self._held > self._room // 2:
+                self._parts, self._held = {}, 0
+
+    def _divided(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """The parts of each text, and the order in which the texts are told."""
+        wide = pc.match_substring_regex(texts, _WIDE).to_numpy(zero_copy_only=False)
+        order = np.argsort(wide, kind="stable")
+        plain = texts.take(pa.array(order[: len(wide) - int(wide.sum())]))
+        parts = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        if wide.any():
+            others = [_CUT.split(x) for x in texts.filter(pa.array(wide)).to_pylist()]
+            parts = pa.concat_arrays([parts, pa.array(others, parts.type)])
+        return order, parts
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text (null: of an empty one), without an end id."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         out = [b""] * len(texts)
-        if len(plain) < len(texts):  # text of a special token: no cut is safe there
-            odd = sorted(set(range(len(texts))) - set(plain))
-            for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+        special = np.zeros(len(texts), bool)
+        for token in self._special:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if special.any():  # text of a special token: no cut is safe there
+            for i, ids in zip(np.flatnonzero(special), self._whole(texts.filter(pa.array(special)).to_pylist())):
                 out[i] = ids
-        cut = [_CUT.split(texts[i]) if _WIDE.search(texts[i]) else texts[i].split(" ") for i in plain]
-        need = set()
-        for parts in cut:
-            need.update(parts[1:])
-        new = need - self._parts.keys()
-        if len(self._parts) + len(new) > self._most:
-            self._parts.clear()
-            new = need
-        new.discard("")
-        self._parts[""] = b"" if "" not in need else self._whole([" "])[0]
-        if new:
-            self._learn(list(new))
-        of = self._parts.__getitem__
-        for i, parts, first in zip(plain, cut, self._whole([parts[0] for parts in cut])):
-            out[i] = first + b"".join(map(of, parts[1:]))
+        plain = np.flatnonzero(~special)
+        if not len(plain):
+            return out
+        order, parts = self._divided(texts.take(pa.array(plain)))
+        edges = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        every = parts.flatten()
+        # a text's first part has no blank before it
+        firsts = self._whole(every.take(pa.array(edges[:-1])).to_pylist())
+        first = np.zeros(len(every), bool)
+        first[edges[:-1]] = True
+        coded = pc.if_else(pa.array(first), "", every).dictionary_encode()
+        names, known = _listed(coded.dictionary), self._parts
+        new = np.array([p != "" and p not in known for p in names])
+        learned = dict(zip(compress(names, new), _listed(self._learned(coded.dictionary.filter(pa.array(new)))))) if new.any() else {}
+        table = pa.array([learned[p] if n else known.get(p, b"") for p, n in zip(names, new)] + firsts, pa.binary())
+        numbers = coded.indices.to_numpy().copy()
+        numbers[edges[:-1]] = len(names) + np.arange(len(firsts))
+        stops, flat = table.take(pa.array(numbers)).buffers()[1:]
+        stops = np.frombuffer(stops, np.int32)[edges].tolist()
+        for i, a, b in zip(plain[order].tolist(), stops[:-1], stops[1:]):
+            out[i] = flat[a:b].to_pybytes()
+        self._settle(names, learned)
         return out
 
 
+def _listed(values: pa.Array) -> list:
+    """As to_pylist, without a scalar for each value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _size(parts: dict[str, bytes]) -> int:
+    return sum(map(len, parts)) + sum(map(len, parts.values())) + ENTRY_BYTES * len(parts)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -1,5 +1,6 @@
 """Token files, packing and token counts, against the tokenizers library itself."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quotemill.llm import packing, rans, token_counts, token_output
-from quotemill.llm.tokenization import encoder
+from quotemill.llm.tokenization import Encoder, encoder
 
 from . import cases
 
@@ -32,6 +33,17 @@ def test_cached_parts_encode_as_whole_texts(whole):
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("room", [3000, 96 << 20])
+def test_cached_parts_encode_as_whole_texts_of_any_signs(room):
+    """White space of all kinds, marks, contractions, special tokens; a cache that overflows in each block too."""
+    rng, own = random.Random(5), Encoder(PATH, room)
+    signs = [*"ab \u00e9B1'_.#-\n\n  \t\r\u00a0\u3000\x1c\x85\u00f1\u65e5\u0130\u00bd", "don't", "<|endoftext|>", " word", "word.", "\nWord", "x" * 80]
+    for _ in range(60):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(20)]
+        assert own.encode(texts) == own._whole(texts)
+    assert own._held <= room + 20_000
+
+
 def test_files_return_every_document(spark, whole):
     docs = cases.documents(spark)
     rows = token_output.token_files(docs, with_ids=True).collect()
@@ -46,6 +58,18 @@ def test_files_return_every_document(spark, whole):
     names = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
     assert names == [d for d, *_ in order]
     assert token_output.token_files(cases.empty(spark)).count() == 0
+    apart = token_output.token_files(docs, with_ids=True, shares=3).collect()
+    assert sorted((r.start, r.n_tokens, r.ids) for r in apart) == sorted((r.start, r.n_tokens, r.ids) for r in rows)
+
+
+def test_damaged_table_is_told(spark, tmp_path):
+    path = f"file://{tmp_path}/files"
+    token_output.write_blocks(cases.documents(spark), path)
+    table = spark.read.parquet(f"{path}/table").selectExpr("ids", "counts", "crc + 1 AS crc")
+    table.write.parquet(f"{path}-other/table")
+    token_output.read_table(spark, path)
+    with pytest.raises(ValueError):
+        token_output.read_table(spark, f"{path}-other")
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 1000, 70_001])
@@ -58,7 +82,10 @@ def test_blocks_round_trip_from_any_checkpoint(n):
     symbols = table.symbols()
     assert np.array_equal(block.decode(table, symbols), ids)
     assert block.doc_ids == [7, None]
-    assert np.array_equal(block.document(table, symbols, 1), ids[n // 3 :])
+    for parts in (1, 2, 7):
+        shares = [block.documents(table, symbols, k, parts) for k in range(parts)]
+        assert [x for i, j, _ in shares for x in range(i, j)] == [0, 1]
+        assert np.array_equal(np.concatenate([x for _, _, x in shares]), ids)
     steps = -(-n // block.lanes)
     for first in range(0, steps, max(1, steps // 5)):
         assert np.array_equal(block.decode(table, symbols, first, first + 3), ids[first * block.lanes : (first + 3) * block.lanes])
