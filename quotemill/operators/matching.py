@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,47 +84,17 @@ def fuzzy_confidence(score: Column) -> Column:
     return FUZZY_LOW + share * (FUZZY_HIGH - FUZZY_LOW)
 
 
-def _signs(keys: list[str]) -> np.ndarray:
-    """How often each sign stands in each key."""
-    out = np.zeros((len(keys), 64), np.int16)
-    for i, key in enumerate(keys):
-        for ch in key:
-            out[i, ord(ch) % 64] += 1
-    return out
-
-
-def best_keys(query: str, own: np.ndarray, keys: list[str], signs: np.ndarray, lengths: np.ndarray, most: int) -> list[tuple[float, str]]:
-    """The `most` keys of the highest scores, then first in order; exact.
-
-    Common signs bound a score from above, so keys are scored from the highest bound down, until no bound can
-    reach what is found.
-    """
-    shared = np.minimum(signs, own).sum(axis=1)
-    short = np.minimum(lengths, len(query))
-    # within a stretch of the longer key: c common signs of n and of c at least
-    bound = np.maximum(200.0 * shared / (lengths + len(query)), 200.0 * np.minimum(shared, short) / (short + np.minimum(shared, short)))
-    found: list[tuple[float, str]] = []
-    order = np.argsort(-bound, kind="stable")
-    for i in order:
-        if len(found) >= most and bound[i] < -found[most - 1][0]:
-            break
-        found.append((-similarity.score(query, keys[i]), keys[i]))
-        found.sort()
-        del found[most:]
-    return [(-s, k) for s, k in found]
-
-
 def fuzzy_blocks(inputs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Requests (input_id, query) and catalog keys (part_key), each with r and k: a block of requests meets a block of keys.
+    """Distinct queries and catalog keys (part_key), each with r and k: a block of queries meets a block of keys.
 
     Both sides are counted first, so that a block holds about BLOCK of either, at any size.
     """
     keys = catalog.select("part_key").distinct()
-    wanted = inputs.where("key <> ''").select("input_id", F.col("key").alias("query"))
+    wanted = inputs.where("key <> ''").select(F.col("key").alias("query")).distinct()
     many_keys = max(KEY_BLOCKS, -(-keys.count() // BLOCK))
     many = max(1, -(-wanted.count() // BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    wanted = wanted.withColumn("r", F.pmod(F.xxhash64("input_id", "query"), F.lit(many))).withColumn("k", every(many_keys))
+    wanted = wanted.withColumn("r", F.pmod(F.xxhash64("query"), F.lit(many))).withColumn("k", every(many_keys))
     keys = keys.withColumn("k", F.pmod(F.xxhash64("part_key"), F.lit(many_keys))).withColumn("r", every(many))
     return wanted, keys
 
@@ -133,24 +102,21 @@ def fuzzy_blocks(inputs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, Data
 def fuzzy_scores(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """input_id, key_rank, score, part_key: each input's most alike keys.
 
-    Inputs and catalog keys are dealt to blocks, and each input meets every block of keys once; their best are
-    merged. Inputs that get here are those that no equality found.
+    Distinct queries and catalog keys are dealt to blocks, and each query meets every block of keys once; their best
+    are merged, and go to all inputs of that query. Inputs that get here are those that no equality found.
     """
     wanted, keys = fuzzy_blocks(inputs, catalog)
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(there["part_key"])
-        out = []
-        if names:
-            signs, lengths = _signs(names), np.array([len(x) for x in names])
-            for query, group in asked.groupby("query"):
-                best = best_keys(query, _signs([query])[0], names, signs, lengths, most)
-                out += [(i, s, k) for i in group["input_id"] for s, k in best]
-        return pd.DataFrame(out, columns=["input_id", "score", "part_key"])
-
-    found = wanted.groupBy("r", "k").cogroup(keys.groupBy("r", "k")).applyInPandas(run, "input_id long, score double, part_key string")
-    rank = F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc("score"), "part_key"))
-    return found.withColumn("key_rank", rank).where(F.col("key_rank") <= most)
+        names, out = similarity.Keys(sorted(there["part_key"])), []
+        if names.keys:
+            out = [(query, s, k) for query in asked["query"] for s, k in names.best(query, most)]
+        return pd.DataFrame(out, columns=["query", "score", "part_key"])
+
+    found = wanted.groupBy("r", "k").cogroup(keys.groupBy("r", "k")).applyInPandas(run, "query string, score double, part_key string")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "part_key"))
+    best = found.withColumn("key_rank", rank).where(F.col("key_rank") <= most)
+    return inputs.select("input_id", F.col("key").alias("query")).join(best, "query").select("input_id", "key_rank", "score", "part_key")
 
 
 def fuzzy(scored: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -34,17 +34,27 @@ def test_score_of_a_stretch():
     assert SequenceMatcher(None, "AB12", "AB13").ratio() * 100 == similarity.ratio("AB12", "AB13")
 
 
-def test_best_keys_lose_nothing_to_the_bound():
+@settings(max_examples=150, deadline=None)
+@given(st.text("AB01\u00e9", max_size=70), st.lists(st.text("AB01\u00e9", max_size=70), max_size=8))
+def test_many_scores_at_once(query, keys):
+    keys = sorted(set(keys))
+    many = similarity.Keys(keys)
     import numpy as np
 
+    got = many.scores(query, np.arange(len(keys)))
+    want = [similarity.score(query, k) for k in keys]
+    assert got.tolist() == want
+    assert all(b >= w - 1e-9 for b, w in zip(many.bounds(query), want) if query)
+
+
+def test_best_keys_lose_nothing_to_the_bound(monkeypatch):
+    monkeypatch.setattr(similarity.Keys, "CHUNK", 16)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("ABCDE01234") for _ in range(rng.randrange(4, 12)))
-    keys = sorted({word() for _ in range(300)})
-    signs, lengths = matching._signs(keys), np.array([len(k) for k in keys])
+    many = similarity.Keys(sorted({word() for _ in range(300)}))
     for query in [word() for _ in range(20)]:
-        got = matching.best_keys(query, matching._signs([query])[0], keys, signs, lengths, 10)
-        want = sorted((-similarity.score(query, k), k) for k in keys)[:10]
-        assert got == [(-s, k) for s, k in want]
+        want = sorted((-similarity.score(query, k), k) for k in many.keys)[:10]
+        assert many.best(query, 10) == [(-s, k) for s, k in want]
 
 
 CATALOG = [("LM358-N", "Active", 5), ("LM358-NX9", "Active", 0), ("ABC10I0", "Obsolete", 0), ("STM32F103C8T6", "Active", 9)]
