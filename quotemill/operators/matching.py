@@ -14,8 +14,8 @@ from quotemill.functions.risk import is_dead
 
 CANDIDATES, NEAR_MISSES, PREFIX_LEAST = 10, 3, 6
 FUZZY_LEAST, FUZZY_LOW, FUZZY_HIGH = 82.0, 0.5, 0.8
-#: Requests, and catalog keys, that a task of the fuzzy tier holds at about; and the least number of blocks of keys.
-BLOCK, KEY_BLOCKS = 4096, 16
+#: Catalog keys, and distinct queries, that a task of the fuzzy tier holds at about.
+BLOCK, QUERY_BLOCK = 4096, 512
 
 
 def keyed(catalog: DataFrame) -> DataFrame:
@@ -87,16 +87,17 @@ def fuzzy_confidence(score: Column) -> Column:
 def fuzzy_blocks(inputs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct queries and catalog keys (part_key), each with r and k: a block of queries meets a block of keys.
 
-    Both sides are counted first, so that a block holds about BLOCK of either, at any size.
+    Both sides are counted first, so that a block holds about BLOCK or QUERY_BLOCK of them, at any size.
     """
     keys = catalog.select("part_key").distinct()
     wanted = inputs.where("key <> ''").select(F.col("key").alias("query")).distinct()
-    many_keys = max(KEY_BLOCKS, -(-keys.count() // BLOCK))
-    many = max(1, -(-wanted.count() // BLOCK))
+    many_keys = max(1, -(-keys.count() // BLOCK))
+    many = max(1, -(-wanted.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     wanted = wanted.withColumn("r", F.pmod(F.xxhash64("query"), F.lit(many))).withColumn("k", every(many_keys))
     keys = keys.withColumn("k", F.pmod(F.xxhash64("part_key"), F.lit(many_keys))).withColumn("r", every(many))
-    return wanted, keys
+    # a task each: blocks are few bytes but much work, so they mustn't be put together by their bytes
+    return wanted.repartition(many * many_keys, "r", "k"), keys.repartition(many * many_keys, "r", "k")
 
 
 def fuzzy_scores(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:

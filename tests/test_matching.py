@@ -49,6 +49,7 @@ def test_many_scores_at_once(query, keys):
 
 def test_best_keys_lose_nothing_to_the_bound(monkeypatch):
     monkeypatch.setattr(similarity.Keys, "CHUNK", 16)
+    monkeypatch.setattr(similarity.Keys, "FIRST", 11)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("ABCDE01234") for _ in range(rng.randrange(4, 12)))
     many = similarity.Keys(sorted({word() for _ in range(300)}))
@@ -91,6 +92,7 @@ def test_near_misses_are_for_inputs_without_candidates(matched):
 def test_fuzzy_tasks_hold_a_block_of_requests(spark, monkeypatch):
     """Blocks follow the number of requests and keys, and lose no pair."""
     monkeypatch.setattr(matching, "BLOCK", 8)
+    monkeypatch.setattr(matching, "QUERY_BLOCK", 8)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("ABCDE01234") for _ in range(rng.randrange(5, 12)))
     keys, asked = sorted({word() for _ in range(200)}), [(i, word()) for i in range(120)]
