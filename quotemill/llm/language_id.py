@@ -11,8 +11,9 @@ hash of doc_id, each whole. Scoring uses the text alone.
 
 Null text, or one without letters: `und`, score 0. Letters in scripts of no learned language: all languages
 compete, and such letters add nothing to the score. No labelled documents: `und` everywhere. Ties: the language
-first in the alphabet. Null doc_id: not learned from, scored. Rows with one doc_id: scored each. Other columns
-are ignored.
+first in the alphabet. Null doc_id: not learned from, scored. Rows with one doc_id: scored each. A very long text
+is scored whole, alone in its block: memory follows its words. A mark counts with the letter before it; marks alone
+are no letters. Empty input: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,22 +46,21 @@ SCRIPTS = [
     ("Armenian", 0x530, 0x58F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x6FF), ("Arabic", 0x750, 0x77F),
     ("Devanagari", 0x900, 0x97F), ("Bengali", 0x980, 0x9FF), ("Tamil", 0xB80, 0xBFF), ("Thai", 0xE00, 0xE7F),
     ("Georgian", 0x10A0, 0x10FF), ("Hangul", 0x1100, 0x11FF), ("Hangul", 0xAC00, 0xD7AF),
-    ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Han", 0x20000, 0x2FA1F),
+    ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Han", 0x20000, 0x323AF),
 ]
 SCRIPT_NAMES = ["Other", *dict.fromkeys(name for name, _, _ in SCRIPTS)]
 _tables: list[np.ndarray] = []
 
 
 def script_table() -> np.ndarray:
-    """For each code point its script's number plus 1 if it is a letter or a mark on one, else 0."""
+    """For each code point its script's number plus 2 if it is a letter, 1 for a mark, which belongs to the word of the
+    letter before it, else 0."""
     if not _tables:
-        table = np.zeros(0x110000, np.uint8)
-        for c in range(0x30000):
-            if unicodedata.category(chr(c))[0] in "LM":
-                table[c] = 1
+        kinds = {"L": 2, "M": 1}
+        table = np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
         for name, low, high in SCRIPTS:
             part = table[low : high + 1]
-            part[part > 0] = SCRIPT_NAMES.index(name) + 1
+            part[part > 1] = SCRIPT_NAMES.index(name) + 2
         _tables.append(table)
     return _tables[0]
 
@@ -82,8 +82,13 @@ def words_of(texts: list[str]) -> Words:
     lowered = [x.lower() if len(x.lower()) == len(x) else x for x in texts]
     points = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = script_table()[points]
+    # a mark without a letter before it is no word
+    real = kind > 1
+    last = np.maximum.accumulate(np.where(kind != 1, np.arange(len(kind)), 0)) if len(kind) else np.zeros(0, np.int64)
+    real |= (kind == 1) & (kind[last] > 1)
+    kind = np.where(real, np.maximum(kind, 2), 0)
     letter = np.zeros(len(points) + 2, bool)
-    letter[1:-1] = kind > 0
+    letter[1:-1] = real
     begin = np.flatnonzero(~letter[:-1] & letter[1:])
     end = np.flatnonzero(letter[:-1] & ~letter[1:])
     x = np.where(kind > 0, points, 0).astype(np.uint64)
@@ -101,7 +106,7 @@ def words_of(texts: list[str]) -> Words:
     edges = np.concatenate([[0], np.cumsum(sizes)])
     return Words(
         (piece >> np.uint64(64 - PIECE_BITS)).astype(np.int32), starts,
-        (whole >> np.uint64(64 - WORD_BITS)).astype(np.int32), kind[begin] - 1 if len(begin) else np.zeros(0, np.uint8),
+        (whole >> np.uint64(64 - WORD_BITS)).astype(np.int32), kind[begin] - 2 if len(begin) else np.zeros(0, np.uint8),
         lengths, np.searchsorted(begin, edges), np.stack([begin, end]) if len(begin) else np.zeros((2, 0), np.int64),
     )
 
@@ -127,15 +132,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     begin, lengths = first[:-1][order], lengths[order]
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     if not len(scores):
         return labels
-    came = np.zeros(scores.shape, np.int8)
+    kind = np.min_scalar_type(max(1, scores.shape[1]))  # of labels: a byte each for up to 255 languages
+    came = np.zeros(scores.shape, kind)
     steps = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts with more words than the step
     value = scores[begin[: active[0]]].astype(np.float64)
-    own = np.arange(scores.shape[1], dtype=np.int8)
-    ends = np.zeros(len(order), np.int8)
+    own = np.arange(scores.shape[1], dtype=kind)
+    ends = np.zeros(len(order), kind)
     ends[: active[0]] = value.argmax(axis=1)
     for t in range(1, steps):
         n = active[t]
@@ -144,7 +150,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
         moved = value[np.arange(n), best] - penalty
         switch = value < moved[:, None]
         at = begin[:n] + t
-        came[at] = np.where(switch, best[:, None].astype(np.int8), own)
+        came[at] = np.where(switch, best[:, None].astype(kind), own)
         value = np.where(switch, moved[:, None], value) + scores[at]
         ends[:n] = value.argmax(axis=1)
     label = ends.copy()
@@ -214,7 +220,7 @@ def _told(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool, pen
         first = np.concatenate([h[2][:-1] + b for h, b in zip(held, base)] + [base[-1:]])
         n, many = len(texts), len(model.languages)
         if not many:
-            labels = np.zeros(len(scores), np.int8)
+            labels = np.zeros(len(scores), np.int32)
         else:
             labels = viterbi(scores, first, penalty)
         doc = np.repeat(np.arange(n), np.diff(first))
