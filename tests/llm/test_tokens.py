@@ -148,24 +148,80 @@ def test_plan_uses_up_counts_and_fills_exactly():
     assert plan.sequences == 14  # 1400 places
 
 
+ONE = {"byte_bpe_50k/1": 0}
+
+
+def _totals(rollup):
+    return {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
+
+
 def test_rollup_is_additive_and_idempotent(spark, whole):
     docs = cases.documents(spark)
     rollup = token_counts.new_rollup(spark)
-    counted = token_counts.counted(docs)
+    counted = token_counts.counted(docs, versions=ONE)
     assert rollup.apply("a", inserts=counted) and not rollup.apply("a", inserts=counted)
     want = defaultdict(lambda: [0, 0])
     for _, t, lang, s in cases.TEXTS:
         want[s, lang][0] += 1
         want[s, lang][1] += len(_ids(whole, t)) - 1
-    got = {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
-    assert got == want
+    assert _totals(rollup) == want
     revised = counted.where("doc_id = 1").selectExpr("doc_id", "source", "lang", "tokenizer_version", "100L AS n_tokens")
     gone = counted.where("doc_id IN (6, 99)").select("doc_id", "tokenizer_version")
     assert rollup.apply("b", deletes=gone, revisions=revised)
     assert rollup.apply("empty")
     want["a", "en"][0] -= 2
     want["a", "en"][1] += 100 - (len(_ids(whole, cases.BASE)) - 1) - 2 * (len(_ids(whole, "one two")) - 1)
-    got = {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()}
+    assert _totals(rollup) == want
+    assert rollup.apply("c", inserts=token_counts.counted(cases.empty(spark), versions=ONE))
+    assert _totals(rollup) == want
+
+
+def test_rollup_of_odd_batches(spark, monkeypatch):
+    """Deleted and revised at once, moved to another group, ids that are null; with snapshots in between."""
+    monkeypatch.setattr(token_counts, "COMPACT_AFTER", 2)
+    rows = lambda values: spark.createDataFrame([(d, s, "en", "v", n) for d, s, n in values], "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    rollup = token_counts.new_rollup(spark)
+    rollup.apply("1", inserts=rows([(1, "a", 10), (2, "a", 5), (3, "b", 7), (None, "a", 1), (None, "b", 2), (4, "b", 3), (4, "b", 3)]))
+    rollup.apply("2", deletes=rows([(1, "a", 0)]), revisions=rows([(1, "a", 7)]))
+    assert _totals(rollup) == {("a", "en"): [2, 6], ("b", "en"): [4, 15]}
+    rollup.apply("3", revisions=rows([(3, "c", 8), (3, "c", 6), (None, "a", 4), (4, "b", 2)]))
+    assert _totals(rollup) == {("a", "en"): [3, 13], ("b", "en"): [2, 4], ("c", "en"): [1, 8]}
+    rollup.apply("4", deletes=rows([(None, "a", 0), (9, "a", 0)]))
+    assert not rollup.apply("1", inserts=rows([(1, "a", 10)]))
+    assert _totals(rollup) == {("a", "en"): [1, 5], ("b", "en"): [2, 4], ("c", "en"): [1, 8]}
+    assert rollup._numbers("snapshots") == [2, 4]
+
+
+def test_two_batches_at_once_are_ordered(spark):
+    """A batch that another overtakes starts anew from its ledger."""
+    rows = lambda n: spark.createDataFrame([(1, "a", "en", "v", n)], "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    rollup = token_counts.new_rollup(spark)
+    rollup.apply("load", inserts=rows(10))
+    own, overtaken = rollup._summed, []
+
+    def slow(name):
+        own(name)
+        if not overtaken:
+            overtaken.append(name)
+            token_counts.TokenRollup(spark, rollup.folder).apply("other", revisions=rows(20))
+
+    rollup._summed = slow
+    assert rollup.apply("mine", revisions=rows(3))
+    assert _totals(rollup) == {("a", "en"): [1, 3]} and rollup._numbers("commits") == [1, 2, 3]
+
+
+def test_maintained_totals_against_brute_force(spark, whole):
+    texts = [*cases.TEXTS, (20, "a\nb\na\nb", "en", "a"), (21, "x y\nx y", "de", "b"), (22, "z\nz", "de", "b")]
+    labels = spark.createDataFrame([(1, 0, 5), (22, 0, 5), (7, 1, 5), (99, 0, 5), (None, 1, 5)], "doc_id long, quality int, source int")
+    want = defaultdict(lambda: [0, 0])
+    for d, t, lang, s in texts:
+        if d not in (1, 22):
+            lines = (t or "").split("\n")
+            # a revision counts for all rows of its doc_id; no doc_id here has several that differ
+            n = len(_ids(whole, "\n".join(dict.fromkeys(lines))))
+            for version, extra in token_counts.VERSIONS.items():
+                want[s, lang, version][0] += 1
+                want[s, lang, version][1] += n - 1 + extra
+    got = {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in token_counts.maintained(cases.documents(spark, texts), labels).collect()}
     assert got == want
-    assert rollup.apply("c", inserts=token_counts.counted(cases.empty(spark)))
-    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in rollup.totals().collect()} == want
+    assert token_counts.maintained(cases.empty(spark), labels).count() == 0
