@@ -1,13 +1,14 @@
 """Operator 5: packing documents into sequences of a fixed length.
 
 Only a histogram of lengths is needed to decide which lengths share a sequence, and it has as many rows as a
-sequence has places, whatever the input. Exact complements first: for a piece of length L, one, two or three
-lengths that add up to the gap, found by hashing sums of lengths and used up as often as all of them are
-there. What is left goes to the fullest open sequence that takes it. Each decision is a run: `times` sequences
-alike. A piece then finds its run by its rank among the pieces of its length.
-
-Null text: an empty document, of the end id alone. Null doc_id: packed, and stays null. Rows with one doc_id
-are documents each. Empty input: no rows. Other columns are ignored.
+sequence has places, whatever the input. Exact complements first: an index holds the sums of one, two and three
+lengths that occur; for a piece of length L the gap is looked up there, and what adds up to it is used as often as
+all of it is there. What is left goes to the fullest open sequence that takes it. Each decision is a run: `times`
+sequences alike. A piece then finds its run by its rank among the pieces of its length.
+
+Null text: an empty document, of the end id alone. Null doc_id: packed, and stays null. Rows with one doc_id, and
+equal rows, are documents each. Ties among complements: the one of the longest piece, then of the next. A very long
+text is cut in pieces; it is encoded whole, alone in its block. Empty input: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,40 +55,64 @@ class _Plan:
         return first
 
 
-def _complement(left: np.ndarray, gap: int, own: int) -> list[int] | None:
-    """Up to three lengths there that add up to the gap, one piece of length `own` being taken; longest first."""
-    have = left.copy()
-    have[own] -= 1
-    if have[gap] > 0:
-        return [gap]
-
-    def pair(total: int, most: int, have: np.ndarray) -> list[int] | None:
-        high = np.arange(min(most, total - 1), (total - 1) // 2, -1)
-        if not len(high):
+class _Sums:
+    """Sums of one, two and three of the lengths that are left, by hash: a length for its own sum, pairs of lengths
+    under the sum of both, and under a sum of three the longest of them, the other two being a pair of the rest.
+
+    Entries of lengths that are used up are taken out when they are met, so each is passed over once.
+    """
+
+    def __init__(self, left: np.ndarray, places: int):
+        self.left = left
+        lengths = np.flatnonzero(left)[::-1].tolist()
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for i, a in enumerate(lengths):
+            for b in lengths[i:]:
+                if a + b < places:
+                    self.pairs.setdefault(a + b, []).append((a, b))  # longest first
+        self.triples: dict[int, list[int]] = {}
+        sums = np.zeros(places, bool)
+        sums[list(self.pairs)] = True
+        for a in lengths:
+            # the other two are no longer than a
+            for rest in np.flatnonzero(sums[: min(2 * a, places - 1 - a) + 1]).tolist():
+                self.triples.setdefault(a + rest, []).append(a)
+
+    def _pair(self, total: int, most: int, taken: dict[int, int]) -> list[int] | None:
+        entries = self.pairs.get(total)
+        if not entries:
             return None
-        low = total - high
-        fits = (have[high] > 0) & (have[low] > 0) & ((high != low) | (have[high] > 1))
-        k = int(np.argmax(fits))
-        return [int(high[k]), int(low[k])] if fits[k] else None
-
-    if found := pair(gap, gap - 1, have):
-        return found
-    for x in range(gap - 2, -(-gap // 3) - 1, -1):
-        if have[x] > 0:
-            have[x] -= 1
-            found = pair(gap - x, min(x, gap - x - 1), have)
-            have[x] += 1
-            if found:
-                return [x, *found]
-    return None
+        if any(self.left[a] <= 0 or self.left[b] <= 0 for a, b in entries[:1]):
+            entries[:] = [(a, b) for a, b in entries if self.left[a] > 0 and self.left[b] > 0]
+        for a, b in entries:
+            if a <= most and self.left[a] >= taken.get(a, 0) + 1 + (a == b) and self.left[b] >= taken.get(b, 0) + 1 + (a == b):
+                return [a, b]
+        return None
+
+    def complement(self, gap: int, own: int) -> list[int] | None:
+        """Up to three lengths there that add up to the gap, one piece of length `own` being taken; longest first."""
+        if self.left[gap] > (gap == own):
+            return [gap]
+        if found := self._pair(gap, gap, {own: 1}):
+            return found
+        heads = self.triples.get(gap, [])
+        if heads and self.left[heads[0]] <= 0:
+            heads[:] = [a for a in heads if self.left[a] > 0]
+        for a in heads:
+            taken = {own: 1}
+            taken[a] = taken.get(a, 0) + 1
+            if self.left[a] >= taken[a] and (found := self._pair(gap - a, a, taken)):
+                return [a, *found]
+        return None
 
 
 def plan(counts: np.ndarray, places: int = PLACES) -> _Plan:
     """counts[L]: pieces of length L, for L below `places`. Every run uses up a length or fills a class of gaps."""
     p = _Plan(np.asarray(counts, np.int64))
+    sums = _Sums(p.left, places)
     for length in range(places - 1, 0, -1):
         while p.left[length] > 0:
-            rest = _complement(p.left, places - length, length)
+            rest = sums.complement(places - length, length)
             if rest is None:
                 break
             lengths = [length, *rest]

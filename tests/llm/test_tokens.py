@@ -1,5 +1,6 @@
 """Token files, packing and token counts, against the tokenizers library itself."""
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -148,6 +149,21 @@ def test_plan_uses_up_counts_and_fills_exactly():
     assert plan.sequences == 14  # 1400 places
 
 
+def test_complements_against_trying_all():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        left = rng.integers(0, 3, 24) * (rng.random(24) < 0.5)
+        own = int(rng.integers(1, 24))
+        left[own], left[0] = max(1, left[own]), 0
+        sums, gap, have = packing._Sums(left, 24), 24 - own, left.copy()
+        have[own] -= 1
+        pool = sorted((int(x) for x in np.repeat(np.arange(24), have)), reverse=True)
+        fits = [c for k in (1, 2, 3) for c in itertools.combinations(pool, k) if sum(c) == gap]
+        got = sums.complement(gap, own)
+        assert (got is None) == (not fits)
+        assert got is None or tuple(got) == max((c for c in fits if len(c) == len(fits[0])))
+
+
 ONE = {"byte_bpe_50k/1": 0}
 
 
