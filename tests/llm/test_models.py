@@ -23,6 +23,18 @@ def test_toxicity_held_out(spark):
     assert (good[:, None] > bad[None]).mean() + (good[:, None] == bad[None]).mean() / 2 > 0.9
 
 
+def test_long_texts_in_stretches():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    docs = [" ".join(rng.choice(words, 30)).encode() for _ in range(40)]
+    ids, first = toxicity.buckets(docs)
+    model = toxicity.train([ids[i:j] for i, j in zip(first, first[1:])], np.arange(40) % 2)
+    for text in (b" ".join(docs), b"w1", b"w1, w2", b" .. " + docs[0] + b" ;; ", b"x" * 300, b" " * 300):
+        want = toxicity.score(model, model.tables(), [text])
+        for stretch in (1, 7, 40, 100):
+            assert np.allclose(toxicity.score(model, model.tables(), [text], stretch), want)
+
+
 def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, "x"), (8, 0, "x"), (6, None, "x"), (None, 1, "x"), (2, 0, "x")], "doc_id long, toxic int, text string")
     for docs, n in ((cases.documents(spark), len(cases.TEXTS)), (cases.empty(spark), 0)):
@@ -62,6 +74,16 @@ def test_language_rejects_rows_not_ids(spark):
     assert sorted(repr((r.doc_id, r.text, r.source)) for r in kept.collect()) == want
 
 
+def test_letters_and_marks():
+    """Letters of late planes are letters; marks belong to letters and are none alone."""
+    words = language_id.words_of(["\U00030001" * 3, "\u0301\u0301", "e\u0301te", "a\n\u0301b", ""])
+    assert np.diff(words.first).tolist() == [1, 0, 1, 2, 0]
+    assert words.letters.tolist() == [3, 4, 1, 1]
+    many = np.zeros((3, 300), np.float32)
+    many[:, 280] = 1.0
+    assert language_id.viterbi(many, np.array([0, 3]), 2.0).tolist() == [280] * 3
+
+
 def test_language_odd_rows(spark):
     rows = language_id.predicted(cases.documents(spark)).collect()
     assert len(rows) == len(cases.TEXTS)
