@@ -32,7 +32,8 @@ def _kept(edges: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+    """Number of the edges, all of them different, and 64 bits of their hashes."""
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
     return row.n, row.h or 0
 
 

@@ -17,6 +17,8 @@ Shingles of five words; two documents are linked if 100 * common >= 75 * togethe
 
 A pair at the threshold misses all of 24 bands with probability 2e-6.
 
+A very long text is hashed whole, alone in its block, and its set is sent once to each group that it is in. Ties in
+the choice of pivots and of largest components go to the greater hash; links don't depend on them.
 Null or empty text: an empty set, linked with nothing, kept. Null doc_id: not comparable, as it has no name:
 component_id null, kept. Rows with one doc_id are one document, linked by any of its rows. Empty input: no
 rows. Other columns are ignored.
@@ -51,8 +53,9 @@ FEW = 4096
 AGREEMENT = 0.6
 #: Members of a mixed bucket's largest component that each class outside it is held against.
 TRIES = 3
-#: Bytes of sets that a task confirming a group of pairs holds at once, and of their members in one step of the count.
-GROUP_BYTES, STEP = 32 << 20, 64
+#: Bytes of sets that a task confirming a group of pairs holds at once, and pairs of a group; and of their members in
+#: one step of the count.
+GROUP_BYTES, GROUP_PAIRS, STEP = 32 << 20, 2048, 64
 #: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
 BROADCAST_ROWS = 250_000
 
@@ -188,8 +191,18 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return _sets(docs, reps, bounded)
 
 
-def _confirmed_groups(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """As _confirmed, of pairs g, a, b: a group's sets are sent once each and not once for each of its pairs."""
+def _star_groups(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs a, b of pivots a as groups g: a pivot's partners are cut in groups by their number and the bytes of their
+    sets, so that a pivot of any number of partners is many groups, each with the pivot's set once."""
+    sized = pairs.join(classes.select(F.col("node").alias("b"), "n"), "b")
+    need = F.greatest(F.count("*") / GROUP_PAIRS, F.sum("n") * 8 / GROUP_BYTES)
+    parts = sized.groupBy("a").agg(F.ceil(need).cast("long").alias("parts"))
+    return pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"), "a", "b")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs g, a, b those whose whole sets meet the threshold, as edges u, v: a group's sets are sent once each and
+    not once for each of its pairs."""
     pairs = pairs.checkpoint()
     if pairs.isEmpty():
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -220,33 +233,11 @@ def _confirmed_groups(pairs: DataFrame, docs: DataFrame, classes: DataFrame) ->
     return pairs.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(run, "u long, v long").checkpoint()
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose whole sets meet the threshold, as edges u, v."""
-    pairs = pairs.checkpoint()
-    if pairs.isEmpty():
-        return pairs.toDF("u", "v")
-    sets = _sets_of(pairs, docs, classes)
-    sides = [sets.select(F.col("node").alias(s), F.col("set").alias(f"set_{s}")) for s in "ab"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(one.as_py(), np.uint64), np.frombuffer(other.as_py(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= THRESHOLD * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).rename_columns(["u", "v"])
-
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "u long, v long").checkpoint()
-
-
 def _across(members: DataFrame) -> DataFrame:
     """Pairs a < b of different components in one group whose signatures nearly agree.
     members: group columns k1, k2, the band that led there, block, and node, component, n, signature. A pair is
     told if the band that led there is the first that it shares; in a group of two blocks only members of different
-    ones meet. Pairs come as groups g, a, b, whose sets take up to GROUP_BYTES.
+    ones meet. Pairs come as groups g, a, b of some GROUP_PAIRS, whose sets take up to GROUP_BYTES.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -257,7 +248,7 @@ def _across(members: DataFrame) -> DataFrame:
         order = np.argsort(number == counts.argmax(), kind="stable")
         node, part, n, words, more, block = node[order], part[order], n[order], words[order], more[order], block[order]
         one_block = (block == block[0]).all()
-        out, seen, room, piece = [np.zeros((3, 0), np.int64)], np.zeros(len(node), bool), GROUP_BYTES, 0
+        out, seen, room, piece, pairs = [np.zeros((3, 0), np.int64)], np.zeros(len(node), bool), GROUP_BYTES, 0, 0
         for i in range(len(node) - int(counts.max())):
             rest = slice(i + 1, None)
             sizes = 100 * np.minimum(n[i], n[rest]) >= THRESHOLD * np.maximum(n[i], n[rest])
@@ -269,10 +260,10 @@ def _across(members: DataFrame) -> DataFrame:
             for some in (near[j : j + STEP] for j in range(0, len(near), STEP)):
                 both = np.append(some, i)
                 need = 8 * int(n[both[~seen[both]]].sum())
-                if need > room and seen.any():
-                    seen[:], room, piece = False, GROUP_BYTES, piece + 1
+                if (need > room or pairs >= GROUP_PAIRS) and seen.any():
+                    seen[:], room, piece, pairs = False, GROUP_BYTES, piece + 1, 0
                     need = 8 * int(n[both].sum())
-                seen[both], room = True, room - need
+                seen[both], room, pairs = True, room - need, pairs + len(some)
                 out.append(np.stack([np.full(len(some), i), some, np.full(len(some), piece)]))
         found = np.concatenate(out, axis=1)
         pairs = node[found[:2]]
@@ -377,11 +368,11 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(shared, "key"), "buckets")
     stars = _stars(members).checkpoint()
-    edges = _confirmed(_by_signature(stars, own), docs, classes)
-    strays = _by_signature(_strays(members, components(edges)), own)
-    edges = edges.unionByName(_confirmed(strays, docs, classes))
+    edges = _confirmed(_star_groups(_by_signature(stars, own).checkpoint(), classes), docs, classes)
+    strays = _by_signature(_strays(members, components(edges)), own).checkpoint()
+    edges = edges.unionByName(_confirmed(_star_groups(strays, classes), docs, classes))
     pairs = _candidates(members, components(edges), own)
-    return classes, edges.unionByName(_confirmed_groups(pairs, docs, classes))
+    return classes, edges.unionByName(_confirmed(pairs, docs, classes))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
