@@ -1,6 +1,7 @@
 """Toxicity, language and nearest neighbours: held-out accuracy, recall and odd rows."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -163,12 +164,30 @@ def test_licences(spark):
     got = {r.doc_id: r for r in licenses.scanned(cases.documents(spark, texts)).collect()}
     assert len(got) == len(texts)
     assert got[1].whole_document == got[2].whole_document == "MIT" and got[3].whole_document is None
-    assert (got[4].licenses, got[4].n_hits, got[4].n_texts) == ("Apache-2.0", 1, 4)
+    assert (got[4].licenses, got[4].n_hits, got[4].n_texts) == ("Apache-2.0", 1, 6)
     assert [(got[i].n_texts, got[i].licenses) for i in (5, 6, 7)] == [(0, "")] * 3
     assert got[None].whole_document == "LicenseRef-all-rights-reserved"
     assert licenses.scanned(cases.empty(spark)).count() == 0
 
 
+def test_licences_within_documents(spark):
+    """Wrapped anew, between other paragraphs; a notice over two lines; equal words in a row; a table of one's own."""
+    by_id = {}
+    for name, text in licenses.KNOWN:
+        by_id[name] = max(by_id.get(name, ""), text, key=len)
+    wrap = lambda t, n: "\n\n".join("\n".join(textwrap.wrap(p, n)) for p in t.split("\n\n"))
+    texts = [(i, f"# A tool\nand its notes\n\n{wrap(t, 40 + i)}\n\nThe end, sub licence licence.", "en", "a") for i, t in enumerate(by_id.values())]
+    texts.append((90, "See below.\nLicensed under the\nMIT License\nThat is all.", "en", "a"))
+    got = {r.doc_id: r for r in licenses.scanned(cases.documents(spark, texts)).collect()}
+    for i, name in enumerate(by_id):
+        assert name in got[i].licenses.split(","), name
+    assert got[90].licenses == "MIT"
+    own = spark.createDataFrame([("a", "licence licence\nlicense"), ("b", "")], "license_id string, known string")
+    docs = cases.documents(spark, [(1, "License, licence: LICENCE", None, None), (2, "", None, None)])
+    assert [(r.doc_id, r.whole_document) for r in licenses.scanned(docs, own).orderBy("doc_id").collect()] == [(1, "a"), (2, None)]
+    assert licenses.scanned(docs, own.limit(0)).where("n_hits > 0").count() == 0
+
+
 def test_native_operators_have_no_python(spark):
     import inspect
 
