@@ -100,11 +100,13 @@ def overridden(lines: DataFrame, overrides: DataFrame) -> DataFrame:
     return out.select(*lines.columns)
 
 
-def part_detail(catalog: DataFrame, mpn: str) -> DataFrame:
-    """The part printed so, else the best of the same key."""
-    wanted = F.upper(F.lit(mpn))
-    same = matching.keyed(catalog).where(F.col("part_key") == key_of(wanted))
-    return same.orderBy(F.upper("mpn") != wanted, F.col("lifecycle_status").isin("Obsolete", "EOL"), F.col("authorized_stock") == 0, "mpn").limit(1)
+def details(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """asked (input_id, input_string) with the part printed so, else the best of the same key; those of no part go."""
+    parts = matching.keyed(catalog)
+    found = asked.join(parts, key_of(F.upper("input_string")) == F.col("part_key"))
+    order = [F.upper("mpn") != F.upper("input_string"), F.col("lifecycle_status").isin("Obsolete", "EOL"), F.col("authorized_stock") == 0, "mpn"]
+    k = F.row_number().over(Window.partitionBy("input_id").orderBy(*order))
+    return found.withColumn("k", k).where("k = 1").drop("k", "part_key", "part_base")
 
 
 def history(weeks: DataFrame, last: int) -> DataFrame:

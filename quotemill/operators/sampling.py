@@ -11,7 +11,7 @@ from quotemill.functions.risk import is_dead
 def stratified(catalog: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """n parts: half of them dead ones, or as many as there are, the others alive; by a seeded hash."""
     dead = is_dead(F.col("lifecycle_status"))
-    place = F.row_number().over(Window.partitionBy(dead).orderBy(F.xxhash64("mpn", F.lit(seed)), "mpn"))
+    place = F.row_number().over(Window.partitionBy(dead).orderBy(F.md5(F.concat("mpn", F.lit(str(seed)))), "mpn"))
     rows = catalog.withColumns({"dead": dead, "place": place})
     few = rows.where(F.col("place") <= n)
     n_dead = few.where(F.col("dead") & (F.col("place") <= n // 2)).count()

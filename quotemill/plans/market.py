@@ -216,11 +216,34 @@ def error_metrics(spark, sf):
     return out.groupBy(label.alias("direction")).agg(F.count("*").alias("n"))
 
 
+def _features(spark, sf):
+    return pricing.features(pricing.weekly(tables.quotes(spark, sf)), tables.brands(spark, sf))
+
+
 def gbm_forecast(spark, sf):
-    """Next week of every part by boosted trees trained on all weeks but each part's last; 20 trees here."""
-    f = pricing.features(pricing.weekly(tables.quotes(spark, sf)), tables.brands(spark, sf))
+    """Next week of every part by boosted trees trained on all weeks but each part's last."""
+    f = _features(spark, sf)
     last = f.groupBy("part_mpn").agg(F.max("week_index").alias("week_index"))
-    return forecast.gbm(forecast.train_gbm(f, trees=20), f.join(last, ["part_mpn", "week_index"], "left_semi"))
+    return forecast.gbm(forecast.train_gbm(f), f.join(last, ["part_mpn", "week_index"], "left_semi"))
+
+
+#: Origins that the evaluation of all models takes here, of the 25 it is made for: each costs a fit of TREES trees.
+MODEL_ORIGINS, TREES = (77, 89, 101), 40
+
+
+def _model_predictions(spark, sf):
+    weeks = pricing.weekly(tables.quotes(spark, sf))
+    return backtest.full_predictions(weeks, _features(spark, sf), tables.brands(spark, sf), list(MODEL_ORIGINS), TREES)
+
+
+def backtest_models(spark, sf):
+    """Last median, boosted trees and ARIMA for each part at MODEL_ORIGINS, in five segments."""
+    return backtest.segments(_model_predictions(spark, sf))
+
+
+def backtest_model_wins(spark, sf):
+    """How often each of the three models was nearest."""
+    return backtest.wins(_model_predictions(spark, sf), backtest.FULL_MODELS)
 
 
 def arima_forecast(spark, sf):
@@ -233,7 +256,7 @@ QUERIES = {
         weekly_quotes, price_band, heat_latest, heat_asof, verify_dispersion, verify_busy_weeks, verify_history, verify_short_series,
         forecast_features, naive_forecast, backtest_predictions, backtest_segments, backtest_lifecycle, backtest_wins, model_rank,
         backtest_side_by_side, price_swing, sparkline_stats, history_projection, series_arrays, week_spine, min_history, series_scan,
-        error_metrics, gbm_forecast, arima_forecast,
+        error_metrics, gbm_forecast, arima_forecast, backtest_models, backtest_model_wins,
     )
 }
 

@@ -25,11 +25,6 @@ def normalize_inputs(spark, sf):
 
 
 def input_variants(spark, sf):
-    """The first other reading of each key, as its SQL has it."""
-    return input_variants_all(spark, sf).where("at < 1")
-
-
-def input_variants_all(spark, sf):
     """Other readings of the keys with one to six places to misread, up to eight, in order."""
     return _inputs(spark, sf).select("input_id", F.posexplode("variants").alias("at", "variant"))
 
@@ -197,7 +192,14 @@ def integrity_checks(spark, sf):
 
 
 def stratified_sample(spark, sf):
-    return sampling.stratified(tables.catalog(spark, sf), 200).groupBy(risk.is_dead(F.col("lifecycle_status")).alias("dead")).agg(F.count("*").alias("parts"))
+    """Two hundred parts, half of them dead."""
+    return sampling.stratified(tables.catalog(spark, sf), 200).select("mpn", "lifecycle_status")
+
+
+def part_details(spark, sf):
+    """The part that each printed number names: the one printed so, else the best of its key. Every request's text is asked."""
+    asked = tables.requests(spark, sf).select("input_id", "input_string")
+    return requests.details(asked, tables.catalog(spark, sf)).select("input_id", "mpn", "manufacturer", "lifecycle_status")
 
 
 def price_labels(spark, sf):
@@ -237,7 +239,7 @@ def analyze_all_tiers(spark: SparkSession, sf: str) -> DataFrame:
 def _overridden(spark: SparkSession, sf: str, analysis: DataFrame) -> DataFrame:
     lines = analysis.select("input_id", "matched_mpn", "match_method", "confidence")
     chosen = tables.catalog(spark, sf).where("authorized_stock > 0").agg(F.min("mpn").alias("chosen_matched_mpn"))
-    picks = lines.where("matched_mpn IS NULL").select("input_id").join(F.broadcast(chosen))
+    picks = lines.where("matched_mpn IS NULL").select("input_id").crossJoin(F.broadcast(chosen))
     return requests.overridden(lines, picks)
 
 
@@ -254,10 +256,10 @@ def apply_overrides_all_tiers(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_inputs, input_variants, input_variants_all, rules_applied, match_tiers, match_cascade, match_near_miss, matcher_accuracy, spec_spread,
+        normalize_inputs, input_variants, rules_applied, match_tiers, match_cascade, match_near_miss, matcher_accuracy, spec_spread,
         alternates, spec_intersection, risk_scores, risk_reasons, band_methods_diff, verify_catalog, catalog_summary, rfq_list,
         rfq_detail, rfq_total, line_cap, panel_counts, line_item_sink, union_dedupe, integrity_checks, stratified_sample,
-        price_labels, price_tier, sheet_letters, analyze, apply_overrides, matcher_accuracy_all_tiers, analyze_all_tiers,
+        price_labels, price_tier, sheet_letters, part_details, analyze, apply_overrides, matcher_accuracy_all_tiers, analyze_all_tiers,
         apply_overrides_all_tiers,
     )
 } | {"match_exact": match_exact, "match_variant": match_variant, "match_prefix": match_prefix, "match_base": match_base}
@@ -363,10 +365,10 @@ _RFQS = """rfqs AS (
   SELECT o_orderkey AS rfq_id, 'Request ' || CAST(o_orderkey AS VARCHAR) || ': ' || repeat(o_orderpriority || ' ', 20) AS raw_input,
          CASE o_orderstatus WHEN 'F' THEN 'text' WHEN 'O' THEN 'email' ELSE 'spreadsheet' END AS source_type, CAST(o_orderdate AS DATE) AS created_at
   FROM orders)"""
-_LABEL = "CASE WHEN p >= 1 THEN round(p, 2) WHEN p >= 0.01 THEN round(p, 3) ELSE round(p, 4) END"
+_LABEL = "CAST(CASE WHEN p >= 1 THEN printf('%.2f', p) WHEN p >= 0.01 THEN printf('%.3f', p) ELSE printf('%.4f', p) END AS DOUBLE)"
 SQL = {
     "normalize_inputs": f"{_NORMAL} SELECT input_id, display, key, grade, base_key FROM normalized",
-    "input_variants": f"{_NORMAL}, {_PARTS}, {_READINGS} SELECT input_id, CAST(\"at\" AS INT) AS \"at\", reading AS variant FROM readings WHERE \"at\" < 1",
+    "input_variants": f"{_NORMAL}, {_PARTS}, {_READINGS} SELECT input_id, CAST(\"at\" AS INT) AS \"at\", reading AS variant FROM readings",
     "match_exact": f"{_NORMAL}, {_PARTS}, {_EXACT} {_ranked('exact')}",
     "match_variant": f"{_NORMAL}, {_PARTS}, {_READINGS}, {_VARIANT} {_ranked('variant')}",
     "match_prefix": f"{_NORMAL}, {_PARTS}, {_PREFIX} {_ranked('prefix')}",
@@ -430,9 +432,24 @@ UNION ALL SELECT 'none', count(*) FROM requests WHERE expected_mpn IS NULL""",
     "sheet_letters": """SELECT p_partkey, CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INT)) ELSE '' END
   || CASE WHEN n > 26 THEN chr(CAST(65 + ((n - 1) // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(65 + (n - 1) % 26 AS INT)) AS letters
 FROM (SELECT p_partkey, p_partkey + 1 AS n FROM part)""",
-    "stratified_sample": f"""WITH {CATALOG}, c AS (SELECT count(*) FILTER (WHERE lifecycle_status IN ('Obsolete', 'EOL')) AS d,
-  count(*) FILTER (WHERE lifecycle_status NOT IN ('Obsolete', 'EOL')) AS a FROM catalog)
-SELECT true AS dead, least(d, 100) AS parts FROM c UNION ALL SELECT false, least(a, 200 - least(d, 100)) FROM c""",
+    "stratified_sample": f"""WITH {CATALOG}, k AS (
+  SELECT mpn, lifecycle_status, lifecycle_status IN ('Obsolete', 'EOL') AS dead,
+         row_number() OVER (PARTITION BY lifecycle_status IN ('Obsolete', 'EOL') ORDER BY md5(mpn || '7'), mpn) AS place FROM catalog)
+SELECT mpn, lifecycle_status FROM k WHERE dead AND place <= 100 OR NOT dead AND place <= 200 - (SELECT count(*) FROM k WHERE dead AND place <= 100)""",
+    "part_details": f"""WITH {CATALOG}, {REQUESTS}, {{parts}} SELECT input_id, mpn, manufacturer, lifecycle_status FROM (
+  SELECT r.input_id, p.*, row_number() OVER (PARTITION BY r.input_id ORDER BY upper(mpn) <> upper(input_string), lifecycle_status IN ('Obsolete', 'EOL'),
+         authorized_stock = 0, mpn) AS k FROM requests r JOIN parts p ON p.part_key = regexp_replace(upper(input_string), '{part_numbers.SEPARATORS}', '', 'g')) WHERE k = 1""".replace(
+        "{parts}", "parts AS (SELECT *, regexp_replace(upper(mpn), '" + part_numbers.SEPARATORS + "', '', 'g') AS part_key FROM catalog)"
+    ),
+    "rules_applied": f"""WITH {CATALOG}, {REQUESTS}, {part_numbers.normalized_sql('requests')}, {_PARTS}, {_READINGS}, steps AS (
+  SELECT input_id, input_string AS s0, n0.t AS s1, n2.t AS s2, n6.t AS s3, stub.display AS s4, key, grade, input_id IN (SELECT input_id FROM readings) AS confusable
+  FROM requests JOIN n0 USING (input_id) JOIN n2 USING (input_id) JOIN n6 USING (input_id) JOIN stub USING (input_id) JOIN normalized USING (input_id)
+), fired AS (
+  SELECT unnest(list_filter([CASE WHEN s0 <> s1 THEN 'uppercase_and_collapse' END, CASE WHEN s1 <> s2 THEN 'strip_quantity_artefacts' END,
+    CASE WHEN s2 <> s3 THEN 'strip_packaging_suffix' END, CASE WHEN s3 <> s4 THEN 'strip_distributor_prefix' END, CASE WHEN s4 <> key THEN 'normalize_separators' END,
+    CASE WHEN grade <> '' THEN 'split_grade_suffix' END, CASE WHEN confusable THEN 'confusable_variants' END], lambda r: r IS NOT NULL)) AS rule FROM steps)
+SELECT rule, count(*) AS n FROM fired GROUP BY rule""",
+    "price_labels": f"""SELECT p_partkey, {_LABEL} AS shown FROM (SELECT p_partkey, p_retailprice / [1.0, 1000.0, 100000.0][p_partkey % 3 + 1] AS p FROM part)""",
     "band_methods_diff": "SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{m}')" for i, (b, _, _, _, n) in enumerate(risk.BANDS) for m in risk.METHODS[(risk.BANDS[i - 1][4] if i else 0) : n]) + ") AS t(band, method)",
     "analyze": f"{_ANALYZE} SELECT * FROM analyzed",
     "apply_overrides": f"""{_ANALYZE}, pick AS (SELECT min(mpn) AS mpn FROM catalog WHERE authorized_stock > 0)

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotemill.plans import market, parts, texts
+from quotemill.plans import feeds, market, parts, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**market.QUERIES, **parts.QUERIES, **texts.QUERIES}
+    return {**market.QUERIES, **parts.QUERIES, **texts.QUERIES, **feeds.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**market.SQL, **parts.SQL, **texts.SQL}
+    return {**market.SQL, **parts.SQL, **texts.SQL, **feeds.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

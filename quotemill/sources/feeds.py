@@ -153,7 +153,7 @@ records AS (
          CASE WHEN part_id % 3 = 0 THEN 'None' ELSE n || ',000 In Stock' END AS availability, CASE WHEN part_id % 4 = 0 THEN n END AS factory
   FROM (SELECT part_id, mpn, CAST(part_id % 83 + 10 AS VARCHAR) AS n FROM catalog)
 ), record_attributes AS (
-  SELECT part_id, at, name, replace(value, '{{n}}', n) AS value FROM records JOIN (VALUES {
+  SELECT part_id, place, name, replace(value, '{{n}}', n) AS value FROM records JOIN (VALUES {
     ", ".join(f"({i}, {k}, {_text(name)}, {_text(value)})" for i, (_, _, pairs) in enumerate(RECORDS) for k, (name, value) in enumerate(pairs))
-  }) AS a(kind, at, name, value) ON kind = part_id % {len(RECORDS)}
+  }) AS a(kind, place, name, value) ON kind = part_id % {len(RECORDS)}
 )"""

@@ -79,7 +79,7 @@ def test_all_readings(spark):
         if 1 <= sum(c in swap for c in key) <= 6:
             readings = sorted({"".join(x) for x in itertools.product(*[(c, swap[c]) if c in swap else (c,) for c in key])} - {key})
             want |= {(r.input_id, at, x) for at, x in enumerate(readings[:8])}
-    got = registry.queries()["input_variants_all"](spark, SF).collect()
+    got = registry.queries()["input_variants"](spark, SF).collect()
     assert len(got) == len(want) and {(r.input_id, r.at, r.variant) for r in got} == want
     assert max(at for _, at, _ in want) == 7
 
