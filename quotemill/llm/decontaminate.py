@@ -11,7 +11,7 @@ bound; else Spark shuffles both. Only documents with a hit are read again, to co
 
 Items with fewer than 13 tokens, null or empty, match nothing: too short to tell. Null or empty text: no match.
 Null doc_id: rows are compared like others and come back as null. Rows with one doc_id: a match in any counts;
-the same match is told once. decontaminated() drops only the rows that match, whatever their doc_id. Empty tables: no rows. Other columns are ignored.
+the same match is told once. A very long text is one row of hashes. Ties: as overlaps() says. decontaminated() drops only the rows that match, whatever their doc_id. Empty tables: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

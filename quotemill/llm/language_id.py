@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import string_blocks
 from .words import mix
 
 TRAIN_ROWS = 6000
@@ -241,22 +242,18 @@ def _told(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool, pen
             columns.append(pa.array(_spans(labels, first, places, model.languages), _SPANS))
         return columns
 
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        begin = 0
-        while begin < len(texts):
-            stop, chars, held = begin, 0, []
-            while stop < len(texts) and chars < 1 << 22:
-                # scores of some texts at a time, labels for more of them
-                upto, size = stop, 0
-                while upto < len(texts) and (upto == stop or size + len(texts[upto]) < 1 << 20):
-                    size += len(texts[upto])
-                    upto += 1
-                words = words_of(texts[stop:upto])
-                held.append((model.scores(words), words.letters, words.first, words.script, words.spans, stop))
-                stop, chars = upto, chars + size
-            yield batch.slice(begin, stop - begin), told(texts[begin:stop], held, begin)
-            begin = stop
+    for part, texts in string_blocks(batches, limit=2 << 20):
+        held, stop = [], 0
+        while stop < len(texts):
+            # scores of some texts at a time, labels for all of them
+            upto, size = stop, 0
+            while upto < len(texts) and (upto == stop or size + len(texts[upto]) < 1 << 20):
+                size += len(texts[upto])
+                upto += 1
+            words = words_of(texts[stop:upto])
+            held.append((model.scores(words), words.letters, words.first, words.script, words.spans, stop))
+            stop = upto
+        yield part, told(texts, held, 0)
 
 
 def identified(docs: DataFrame, model: Model, with_spans: bool = False, penalty: float = SWITCH_PENALTY) -> DataFrame:

@@ -8,7 +8,8 @@ shuffled until the end; texts move once, to be joined with the places that go.
 
 Null text: no lines, stays null. Null site: no site of its own, so it adds nothing to a line's spread; its
 lines are removed like others. Null doc_id: its copies count and go like others, and are never the first.
-Rows with equal doc_id and text are treated alike. Empty input: no rows. Other columns pass.
+Rows with equal doc_id and text are treated alike. Ties for the first copy: the place, then a hash of the text. A very
+long text is one row, its lines rows of hashes. Empty input: no rows. Other columns pass.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ LG_K = 12
 #: Estimates from SITES less to SITES more than this share are settled by exact counts. Six standard errors
 #: of a sketch of 2**12 registers (1.04 / 64).
 NEAR = 0.1
+#: Boilerplate lines (16 bytes and the place of the first copy each) that may be broadcast, and shares of one beyond it.
+BROADCAST_ROWS, SALTS = 500_000, 16
 
 
 def _parts(text: Column) -> Column:
@@ -59,8 +62,14 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 def removed_places(docs: DataFrame, site: str = "source", sites: int = SITES) -> DataFrame:
     """doc_id, version (hash of the text), places: the lines of each document that go, by place from 0."""
     lines = _line_rows(docs, site)
-    found = boilerplate(lines, sites)
-    gone = lines.join(found, "key").where(
+    found = written(boilerplate(lines, sites), "boilerplate")
+    if found.count() <= BROADCAST_ROWS:
+        there = lines.join(F.broadcast(found), "key")
+    else:  # a line of very many documents is SALTS keys
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), F.lit(SALTS)).cast("int"))
+        there = salted.join(found.select("*", every), ["key", "salt"])
+    gone = there.where(
         "first IS NULL OR NOT (doc_id <=> first.doc_id AND place = first.place AND version = first.version)"
     )
     return gone.groupBy("doc_id", "version").agg(F.collect_set("place").alias("places"))

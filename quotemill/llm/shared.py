@@ -8,17 +8,22 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset, as in tests, a new local one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a new local one if Spark is local, as in tests; on
+    a cluster that is an error, as no machine's own folder is seen by all."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quotemill-"))
     return context.getCheckpointDir()
 
@@ -48,31 +53,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _slices(batch: pa.RecordBatch, texts: list, limit: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    start = held = 0
-    for i, text in enumerate(texts):
-        if i > start and held + len(text) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
-
-
-def text_blocks(
-    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20
-) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with some `limit` bytes of text each, and their texts in UTF-8 (null: empty).
-
-    A text over the limit has a slice of its own, so memory follows the longest text and not the batch.
-    """
-    for batch in batches:
-        yield from _slices(batch, [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(column).to_pylist()], limit)
-
-
-def string_blocks(
-    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20
-) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """As text_blocks, with texts as strings and the limit in characters."""
+def _slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of some `limit` bytes of text each. A text over the limit has a slice of its own, so memory follows the
+    longest text and not the batch. What Arrow holds unused goes back at the end: workers outlive their tasks."""
     for batch in batches:
-        yield from _slices(batch, [x or "" for x in batch.column(column).to_pylist()], limit)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+    pa.default_memory_pool().release_unused()
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with some `limit` bytes of text each, and their texts in UTF-8 (null: empty)."""
+    for part in _slices(batches, column, limit):
+        yield part, [(x or "").encode("utf-8", "surrogatepass") for x in part.column(column).to_pylist()]
+
+
+def string_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """As text_blocks, with texts as strings."""
+    for part in _slices(batches, column, limit):
+        yield part, [x or "" for x in part.column(column).to_pylist()]

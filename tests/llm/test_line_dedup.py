@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+import pytest
+
 from quotemill.llm import line_dedup
 
 from . import cases
@@ -34,7 +36,9 @@ def _documents(spark):
     return rows, cases.documents(spark, rows)
 
 
-def test_boilerplate_goes_and_first_copies_stay(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_boilerplate_goes_and_first_copies_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
     rows, docs = _documents(spark)
     got = {(r.doc_id, r.n): r.text for r in line_dedup.without_boilerplate(docs).selectExpr("doc_id", "text", "__lines AS n").collect()}
     want = _plain([(d, t, s) for d, t, _, s in rows], line_dedup.SITES)

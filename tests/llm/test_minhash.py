@@ -90,6 +90,7 @@ def test_groups_around_the_threshold(spark):
 def test_large_buckets_are_split_and_cut(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET", 8)
     monkeypatch.setattr(minhash, "FEW", 8)
+    monkeypatch.setattr(minhash, "GROUP_PAIRS", 3)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(200)]
     texts = [(i, " ".join(_edited(rng, base, rng.randrange(0, 12))), "en", "a") for i in range(150)]
