@@ -121,3 +121,13 @@ def sparkline(weeks: DataFrame) -> DataFrame:
         F.min("p50").alias("low"), F.max("p50").alias("high"), F.min_by("p50", "week_start").alias("first"), F.max_by("p50", "week_start").alias("last")
     )
     return out.withColumn("change_pct", F.try_divide(F.col("last") - F.col("first"), F.nullif("first", F.lit(0.0))) * 100)
+
+
+def restored(lines: DataFrame) -> DataFrame:
+    """Stored lines with their reasons, alternates and near misses as arrays again."""
+    schemas = {
+        "risk_reasons": "array<struct<code:string,label:string,points:int,detail:string>>",
+        "alternates": "array<struct<mpn:string,similarity:double,lifecycle_status:string,authorized_stock:long>>",
+        "near_misses": "array<struct<mpn:string,confidence:double>>",
+    }
+    return lines.withColumns({name: F.from_json(name, schema) for name, schema in schemas.items() if name in lines.columns})
