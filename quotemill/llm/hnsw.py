@@ -1,6 +1,6 @@
 """Operator 9: nearest neighbours by a hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt to shards of some SHARD_ROWS by a hash. A shard's index is one row: its vectors, and for each
+Vectors are dealt to shards of some SHARD_ROWS by a hash, a task each. A shard's index is one row: its vectors, and for each
 level a flat array of neighbours, -1 where there is none. A vector is on level l and below with probability
 M**-l. On a level its neighbours are chosen among its nearest there: one is taken if it is nearer to the vector
 than to all taken before, so links point in many directions; links are made both ways. A search walks greedily
@@ -11,7 +11,7 @@ Equal vectors are one entry of the index, with the least vec_ids of its copies,
 
 Vectors null, zero, or holding nulls or non-finite numbers take no part; nor do rows without vec_id. Vectors of
 other lengths are in shards of their own and meet only their like. Repeated vec_ids: the row of the greatest
-vector counts. Fewer candidates than asked for: all of them. Empty input: no rows. Other columns are ignored.
+vector counts. Ties of nearness: the smaller vec_id, as far as both are found. Fewer candidates than asked for: all of them. Empty input: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-SHARD_ROWS = 8192
+#: Vectors of a shard: a query is sent to each shard, so fewer and larger ones are less work.
+SHARD_ROWS = 32_768
 QUERY_BLOCK = 2048
 M, EF = 16, 96
 #: Nearest vectors that a level's links are chosen among.
@@ -41,8 +42,8 @@ class Graph:
 def _nearest(x: np.ndarray, nodes: np.ndarray, k: int) -> np.ndarray:
     """For each node of a level the k nearest others there, nearest first."""
     own, out = x[nodes], []
-    for i in range(0, len(nodes), 1024):
-        sims = own[i : i + 1024] @ own.T
+    for i in range(0, len(nodes), 256):
+        sims = own[i : i + 256] @ own.T
         sims[np.arange(len(sims)), i + np.arange(len(sims))] = -np.inf
         top = np.argpartition(-sims, min(k, len(nodes) - 1) - 1, axis=1)[:, :k]
         top = np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)

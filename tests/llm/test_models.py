@@ -5,6 +5,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quotemill.llm import hnsw, language_id, licenses, toxicity
@@ -141,6 +142,19 @@ def test_neighbours_recall_and_scores(spark, monkeypatch):
     assert [v for _, (v, _) in sorted(got[50].items())] == [3000, 3001, 3002, 3003, 3004]
 
 
+@pytest.mark.parametrize("shard", [1500, 32_768])
+def test_recall_on_the_table_of_embeddings(spark, monkeypatch, shard):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", shard)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {}
+    for r in hnsw.nearest(table, table.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table.collect() if r.embedding is not None and None not in r.embedding]
+    want = _exact([(i, v) for i, v in rows if np.isfinite(v).all() and any(v)])
+    hits = sum(len(got[q] & {v for v, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and hits / (5 * len(want)) >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0], "x", "y"), (1, [1.0, 0.1], "x", "y"), (2, None, "x", "y"), (3, [0.0, 0.0], "x", "y"), (4, [nan, 1.0], "x", "y")]
