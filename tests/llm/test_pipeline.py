@@ -6,6 +6,8 @@ import pytest
 import corpus_pipeline
 from quotemill.llm import decontaminate, language_id, line_dedup, minhash, queries
 
+from . import cases
+
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,6 +40,23 @@ def test_stages_keep_what_the_operators_keep(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_bear_odd_rows(spark, name, stage):
+    docs = cases.documents(spark)
+    kept = stage(spark, docs, SF)
+    rows = kept.collect()
+    ids = [r.doc_id for r in rows]
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert kept.columns == docs.columns and len(rows) <= len(cases.TEXTS)
+        assert (5 in ids) == (4 in ids) == (name != "language")  # null and empty texts
+        assert {1, 6} & set(ids)
+    else:
+        assert {d for d, *_ in cases.TEXTS} == set(ids)
+    if name == "near_duplicates":
+        assert 1 in ids and 2 not in ids and ids.count(None) == 2
+    assert stage(spark, cases.empty(spark), SF).count() == 0
+
+
 def test_run_ends_with_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
