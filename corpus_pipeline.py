@@ -2,6 +2,9 @@
 
 Language ID, line dedup, near duplicates, benchmark decontamination, packing. Every stage but the last returns
 the columns of documents; the last returns the places of the documents' pieces in sequences.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows, columns beside those of
+documents whatever their names, and an empty table, which gives an empty one. What it does with them stands with it.
 """
 
 from __future__ import annotations
@@ -15,31 +18,34 @@ from quotemill.llm.shared import shared_folder, ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go."""
+    """Documents whose language can't be told go: null and empty texts and those without letters too. Rows are judged
+    one by one, whatever their doc_id."""
     ship(spark)
     return language_id.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sources go, but for their first copies; documents of nothing else go."""
+    """Lines that stand on many sources go, but for their first copies; documents of nothing else go. Null and empty
+    texts stay; a null source is none; a row without doc_id is never the first copy."""
     ship(spark)
     return line_dedup.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays."""
+    """One document of each component of near duplicates stays, that of the least doc_id. Null and empty texts are like
+    none and stay, as do rows without doc_id; rows with one doc_id are one document and stay or go together."""
     ship(spark)
     return minhash.deduplicated(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
+    """Documents that hold a passage of a benchmark item go. Null and empty texts hold none; rows are judged one by one."""
     ship(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents left, in sequences of 1024 places."""
+    """All documents left, in sequences of 1024 places. Null and empty texts are an end id alone; each row is packed."""
     ship(spark)
     return packing.packed(docs)
 
