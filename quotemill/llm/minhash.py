@@ -55,7 +55,7 @@ AGREEMENT = 0.6
 TRIES = 3
 #: Bytes of sets that a task confirming a group of pairs holds at once, and pairs of a group; and of their members in
 #: one step of the count.
-GROUP_BYTES, GROUP_PAIRS, STEP = 32 << 20, 2048, 64
+GROUP_BYTES, GROUP_PAIRS, STEP = 8 << 20, 2048, 64
 #: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
 BROADCAST_ROWS = 250_000
 
