@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hnsw, language_id, licenses, line_dedup, minhash, packing, token_counts, token_output, toxicity
+from . import decontaminate, filter_audit, hnsw, language_id, licenses, line_dedup, minhash, packing, token_counts, token_output, toxicity
 from .shared import ship
 
 
@@ -67,6 +67,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, in each order and part."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_nearest": op9_nearest,
         "op10_language_id": op10_language_id,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
@@ -87,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE,
         "op4_decontaminate": decontaminate.ORACLE,
         "op8_licenses": licenses.oracle(),
+        "op12_filter_audit": filter_audit.ORACLE,
     }
