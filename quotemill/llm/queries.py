@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, filter_audit, hnsw, language_id, licenses, line_dedup, minhash, packing, token_counts, token_output, toxicity
+from . import decontaminate, distance_keys, filter_audit, hnsw, language_id, licenses, line_dedup, minhash, packing, token_counts, token_output, toxicity
 from .shared import ship
 
 
@@ -72,6 +72,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives to each positive of the anchors among all vectors."""
+    return distance_keys.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_nearest": op9_nearest,
         "op10_language_id": op10_language_id,
         "op12_filter_audit": op12_filter_audit,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -94,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.ORACLE,
         "op8_licenses": licenses.oracle(),
         "op12_filter_audit": filter_audit.ORACLE,
+        "op13_hard_negatives": distance_keys.ORACLE,
     }
