@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, distance_keys, filter_audit, hnsw, language_id, licenses, line_dedup, minhash, packing, token_counts, token_output, toxicity
+from . import decontaminate, distance_keys, filter_audit, hnsw, language_id, licenses, line_dedup, minhash, packing, pii, token_counts, token_output, toxicity
 from .shared import ship
 
 
@@ -67,6 +67,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(_table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return pii.found(docs, pii.fit(docs))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove of all documents, in each order and part."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": op8_licenses,
         "op9_nearest": op9_nearest,
         "op10_language_id": op10_language_id,
+        "op11_pii": op11_pii,
         "op12_filter_audit": op12_filter_audit,
         "op13_hard_negatives": op13_hard_negatives,
     }
