@@ -1,9 +1,20 @@
-"""Matching requests with a catalog: five tiers, each for what the ones before left."""
+"""Matching requests with a catalog: five tiers, each for what the ones before left.
+
+The fuzzy tier finds the keys that score 82 or more through an index of pairs of neighbouring signs (grams). If L signs
+are common in order to a text of s signs and to a stretch of w of the other, at most s - L deletions and w - L insertions
+lie between them; a deletion takes two grams, an insertion one, so 3L - s - w - 1 grams at least are common. The score
+tells the least L, so each length has a least number of common grams; two keys with that many have one in common among
+the rarest of both, and only on these they are joined. Bits of all grams then bound the number from above, and what is
+left is scored.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +22,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import similarity
 from quotemill.functions.part_numbers import base_of, key_of, normalized
 from quotemill.functions.risk import is_dead
+from quotemill.sources.session import checkpointed, ship
 
 CANDIDATES, NEAR_MISSES, PREFIX_LEAST = 10, 3, 6
 FUZZY_LEAST, FUZZY_LOW, FUZZY_HIGH = 82.0, 0.5, 0.8
@@ -84,6 +96,91 @@ def fuzzy_confidence(score: Column) -> Column:
     return FUZZY_LOW + share * (FUZZY_HIGH - FUZZY_LOW)
 
 
+def common_grams(s: int, least: float = FUZZY_LEAST) -> int:
+    """Grams that a key of s signs has at least in common with one as long or longer, if their score is `least` or more:
+    over stretches of w signs and, beyond s, whole keys."""
+    need = [(math.ceil(least * (s + w) / 200 - 1e-9), w) for w in range(1, 2 * s + 1)]
+    return min((3 * common - s - w - 1 for common, w in need if common <= min(s, w)), default=s)
+
+
+def _needed(short: Column) -> Column:
+    """common_grams, from a table for usual lengths; beyond it a little less, which keeps more pairs."""
+    known = F.array(*[F.lit(common_grams(s)) for s in range(1, 65)])
+    return F.when(short <= 64, F.get(known, (short - 1).cast("int"))).otherwise(F.floor(short * 0.38 - 1).cast("int"))
+
+
+def _grams(keys: DataFrame, side: str) -> DataFrame:
+    """key, gram of every key: its pairs of signs, numbered where one occurs again. A key of one sign has no pair: it
+    meets the other side's keys on that sign, with the name of its side."""
+    at = lambda n: F.expr(f"transform(sequence(1, greatest(length(key) - {n - 1}, 1)), i -> substr(key, i, {n}))")
+    again = F.expr("transform(twos, (g, i) -> concat(g, '#', size(filter(slice(twos, 1, i), x -> x = g))))")
+    twos = keys.where(F.length("key") >= 2).withColumn("twos", at(2)).select("key", F.explode(again).alias("gram"))
+    signs = keys.where(F.length("key") >= 1).select("key", F.explode(F.array_distinct(at(1))).alias("sign"))
+    alone = F.length("key") == 1
+    sides = F.array(F.when(alone, F.lit(side)), F.lit("a") if side == "b" else F.when(~alone, F.lit("b")))
+    ones = signs.select("key", "sign", F.explode(F.array_compact(sides)).alias("of")).select("key", F.concat("of", "sign").alias("gram"))
+    return twos.unionByName(ones)
+
+
+#: Bits that stand for a key's grams.
+_WORDS = 4
+
+
+def _indexed(keys: DataFrame, counts: DataFrame, side: str) -> DataFrame:
+    """gram, and of each key that has it: the key, its length n, the gram's place p by rarity, bits of its grams, and how
+    many grams share a bit with another of the key."""
+    rows = _grams(keys, side).join(counts, "gram")
+    pair = lambda gram: F.length(gram) >= 4
+    spot = F.pmod(F.xxhash64("gram"), F.lit(64 * _WORDS))
+    word = lambda i: F.coalesce(F.bit_or(F.when(pair("gram") & (F.floor(spot / 64) == i), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")))), F.lit(0).cast("long"))
+    one = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"), *[word(i).alias(f"w{i}") for i in range(_WORDS)])  # as many as signs
+    twos, ones = F.filter("grams", lambda g: pair(g["gram"])), F.filter("grams", lambda g: ~pair(g["gram"]))
+    bits = sum(F.bit_count(f"w{i}") for i in range(_WORDS))
+    flat = one.select("key", F.length("key").alias("n"), *[f"w{i}" for i in range(_WORDS)], (F.size(twos) - bits).alias("shared"), F.concat(twos, ones)["gram"].alias("grams"))
+    names = {c: f"{c}_{side}" for c in ("key", "n", "p", "shared", *[f"w{i}" for i in range(_WORDS)])}
+    return flat.select("*", F.posexplode("grams").alias("p", "gram")).drop("grams").withColumnsRenamed(names)
+
+
+def alike(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+    """query, part_key, score of all pairs that score FUZZY_LEAST or more. wanted: query; keys: part_key; both distinct."""
+    ship(wanted.sparkSession)
+    asked, there = wanted.select(F.col("query").alias("key")), keys.select(F.col("part_key").alias("key"))
+    # a gram's number of keys: only the order counts, so that of one side is enough
+    counts = _grams(asked, "a").select("gram").distinct().join(_grams(there, "b").groupBy("gram").agg(F.count("*").alias("n")), "gram")
+    both = _indexed(asked, counts, "a").join(_indexed(there, counts, "b"), "gram")
+    need = _needed(F.least("n_a", "n_b"))
+    single = F.length("gram") < 4
+    common = sum(F.bit_count(F.col(f"w{i}_a").bitwiseAND(F.col(f"w{i}_b"))) for i in range(_WORDS)) + F.least("shared_a", "shared_b")
+    # places are counted among grams that the other side has at all, which are fewer than all, so a little more is kept
+    rare = (F.col("p_a") <= F.col("n_a") - 1 - need) & (F.col("p_b") <= F.col("n_b") - 1 - need) & (common >= need)
+    pairs = both.where(single | rare).select(F.col("key_a").alias("query"), F.col("key_b").alias("part_key")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out, names = [], similarity.Keys(sorted(set(rows["part_key"])))
+            places = np.searchsorted(np.array(names.keys, object), rows["part_key"].to_numpy(object))
+            for query, own in rows.groupby("query").indices.items():
+                some = places[own]
+                some = some[names.bounds(query, some) >= FUZZY_LEAST]
+                if len(some):
+                    found = names.scores(query, some)
+                    out += [(query, names.keys[i], s) for i, s in zip(some, found.tolist()) if s >= FUZZY_LEAST]
+            yield pd.DataFrame(out, columns=["query", "part_key", "score"])
+
+    # a query's pairs beside each other, a query of very many in several tasks
+    dealt = pairs.hint("rebalance", "query").sortWithinPartitions("query")
+    return dealt.mapInPandas(run, "query string, part_key string, score double")
+
+
+def fuzzy_found(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """input_id, key_rank, score, part_key: of each input's most alike keys those that score FUZZY_LEAST or more."""
+    wanted = inputs.where("key <> ''").select(F.col("key").alias("query")).distinct()
+    found = alike(wanted, catalog.where("part_key <> ''").select("part_key").distinct())
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "part_key"))
+    best = found.withColumn("key_rank", rank).where(F.col("key_rank") <= most)
+    return inputs.select("input_id", F.col("key").alias("query")).join(best, "query").select("input_id", "key_rank", "score", "part_key")
+
+
 def fuzzy_blocks(inputs: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct queries and catalog keys (part_key), each with r and k: a block of queries meets a block of keys.
 
@@ -106,6 +203,7 @@ def fuzzy_scores(inputs: DataFrame, catalog: DataFrame, most: int = CANDIDATES)
     Distinct queries and catalog keys are dealt to blocks, and each query meets every block of keys once; their best
     are merged, and go to all inputs of that query. Inputs that get here are those that no equality found.
     """
+    ship(inputs.sparkSession)
     wanted, keys = fuzzy_blocks(inputs, catalog)
 
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
@@ -147,16 +245,18 @@ def cascade(requests: DataFrame, catalog: DataFrame, with_fuzzy: bool = True) ->
     """
     catalog = keyed(catalog)
     # the rules are the expensive part and all tiers need them
-    inputs = normalized(requests).persist()
+    inputs = checkpointed(normalized(requests))
     hits = [tier(inputs, catalog).withColumn("tier", F.lit(i)) for i, tier in enumerate((exact, variant, prefix, base_part))]
     every = reduce(DataFrame.unionByName, hits)
     first = F.min("tier").over(Window.partitionBy("input_id"))
     out = ranked(every.withColumn("first", first).where("tier = first"))
     if not with_fuzzy:
         return out, out.limit(0)
+    out = checkpointed(out)
     left = inputs.join(out.select("input_id").distinct(), "input_id", "left_anti")
-    scored = fuzzy_scores(left, catalog).persist()
-    return out.unionByName(fuzzy(scored, catalog)), near_misses(scored, catalog)
+    found = checkpointed(fuzzy_found(left, catalog))
+    rest = left.join(found.select("input_id").distinct(), "input_id", "left_anti")
+    return out.unionByName(fuzzy(found, catalog)), near_misses(fuzzy_scores(rest, catalog, NEAR_MISSES), catalog)
 
 
 def accuracy(requests: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.operators.order_statistics import quantiles
+
 HEAT_WEEKS, BASE_WEEKS, BAND_WEEKS = 8, 52, 8
 ELEVATED, VOLATILE, FLOOR = 1.3, 2.0, 1e-4
 LAGS, ROLLS, FIRST_WEEK = (1, 2, 4, 8, 12), (4, 12), 12
@@ -32,12 +34,12 @@ def weekly(quotes: DataFrame) -> DataFrame:
 
 
 def price_band(quotes: DataFrame, weeks: int = BAND_WEEKS) -> DataFrame:
-    """Quartiles of all quotes of each part's last weeks, later than its latest week less `weeks`."""
+    """Quartiles of all quotes of each part's last weeks, later than its latest week less `weeks`. A part may have any
+    number of quotes: they are ranked in many tasks."""
     latest = quotes.groupBy("part_mpn").agg(F.max("week_start").alias("latest"))
     recent = quotes.join(latest, "part_mpn").where(F.col("week_start") > F.date_sub("latest", 7 * weeks))
-    p = F.percentile("quoted_price", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("p")
-    out = recent.groupBy("part_mpn").agg(p, F.count("*").alias("quotes"))
-    return out.select("part_mpn", *[F.col("p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "quotes")
+    found = quantiles(recent, ["part_mpn"], "quoted_price", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("size")
+    return recent.groupBy("part_mpn").agg(F.count("*").alias("quotes")).join(found, "part_mpn", "left").select("part_mpn", "p25", "p50", "p75", "quotes")
 
 
 def heat_ratio(now: Column, base: Column) -> Column:

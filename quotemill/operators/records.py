@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from quotemill.functions import descriptions, units
 
-_SUPPLY = ["supplyvoltagemin", "voltagesupplymin", "operatingsupplyvoltagemin"], ["supplyvoltagemax", "voltagesupplymax", "operatingsupplyvoltagemax"], ["supplyvoltage", "voltagesupply", "operatingsupplyvoltage"]
+#: Names of a supply voltage's low end, its high one, and both, in the order in which they are asked for.
+_OPERATING = (
+    ["supplyvoltagemin", "operatingsupplyvoltagemin", "voltagesupplymin"], ["supplyvoltagemax", "operatingsupplyvoltagemax", "voltagesupplymax"],
+    ["supplyvoltage", "operatingsupplyvoltage", "voltagesupply"],
+)
+_SUPPLY = (
+    ["supplyvoltagemin", "voltagesupplymin", "operatingsupplyvoltagemin"], ["supplyvoltagemax", "voltagesupplymax", "operatingsupplyvoltagemax"],
+    ["supplyvoltage", "voltagesupply", "operatingsupplyvoltage"],
+)
 #: By category and field, names of the attribute that tells it, the scale to the field's unit, and whether it is a whole number.
 FIELDS: dict[str, dict[str, tuple[list[str], float, bool]]] = {
     "Microcontrollers": {
@@ -66,20 +74,22 @@ FIELDS: dict[str, dict[str, tuple[list[str], float, bool]]] = {
     },
 }
 #: Fields of two ends, by the categories that have them: names of the low end, of the high one, and of both in one text.
-RANGES = {
-    "operating_voltage": (["Microcontrollers"], ("min_v", "max_v"), *_SUPPLY),
-    "supply_voltage": (["Operational Amplifiers", "Logic Gates", "SRAM"], ("min_v", "max_v"), *_SUPPLY),
-    "temp_range": (
+RANGES = [
+    ("operating_voltage", ["Microcontrollers"], ("min_v", "max_v"), *_OPERATING),
+    ("supply_voltage", ["Operational Amplifiers"], ("min_v", "max_v"), *_OPERATING),
+    ("supply_voltage", ["Logic Gates", "SRAM"], ("min_v", "max_v"), *_SUPPLY),
+    (
+        "temp_range",
         [c for c in FIELDS if c not in ("Operational Amplifiers", "Logic Gates")], ("min_c", "max_c"), ["minimumoperatingtemperature", "operatingtemperaturemin"],
         ["maximumoperatingtemperature", "operatingtemperaturemax"], ["operatingtemperaturerange", "operatingtemperature", "temperaturerange"],
     ),
-}
+]
 
 
 def fields() -> list[tuple]:
     """category and its fields: name, names of attributes, scale, whether it is whole, names of a range, its end."""
     rows = {name: [(f, names, scale, whole, [], "") for f, (names, scale, whole) in own.items()] for name, own in FIELDS.items()}
-    for field, (categories, ends, low, high, both) in RANGES.items():
+    for field, categories, ends, low, high, both in RANGES:
         for name in categories:
             rows[name] += [(f"{field}.{ends[0]}", low, 1.0, False, both, "low"), (f"{field}.{ends[1]}", high, 1.0, False, both, "high")]
     return list(rows.items())

@@ -39,7 +39,7 @@ def record_specs(spark: SparkSession, sf: str) -> DataFrame:
 
 def spec_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Spread and weight of each spec of the thirteen categories that records have."""
-    return alternates.weights(alternates.spread(alternates.long_specs(records.parts(feeds.records(spark, sf)))))
+    return alternates.weights(alternates.spread(alternates.long_specs(records.parts(feeds.records(spark, sf))))).drop("parts")
 
 
 QUERIES = {f.__name__: f for f in (si_values, category_map, desc_specs, record_specs, spec_weights)}

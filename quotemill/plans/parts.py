@@ -72,7 +72,7 @@ def matcher_accuracy_all_tiers(spark, sf):
 
 
 def spec_spread(spark, sf):
-    return spec.weights(spec.spread(spec.long_specs(tables.catalog(spark, sf))))
+    return spec.weights(spec.spread(spec.long_specs(tables.catalog(spark, sf)))).drop("parts")
 
 
 def alternates(spark, sf):

@@ -6,11 +6,23 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as files in the folder that spark.checkpoint.dir names, so that later reads see the same rows in the same tasks,
+    whatever executors are lost. Where it is unset, a new local folder if Spark is local, as in tests; else an error."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quotemill-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the library to the executors, once an application; `spark-submit --py-files` does the same."""
     application = spark.sparkContext.applicationId
