@@ -69,17 +69,27 @@ def variant(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def prefix(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Parts whose key begins with the input's: an equality of the part's first signs, for each length that occurs.
+    """Parts whose key begins with the input's, the first ten by key.
 
-    An input takes the first ten by key.
+    Keys and inputs are sorted together, over all tasks, which gives each part its place and each input the number of
+    parts before it; the parts that begin with the input follow it at once, so it meets the ten places after it and no
+    others, however many parts begin so.
     """
-    long = inputs.where(F.length("key") >= PREFIX_LEAST).withColumn("n", F.length("key"))
-    lengths = long.select("n").distinct()
-    parts = _part(catalog).join(F.broadcast(lengths), F.length("part_key") >= F.col("n"))  # lengths of keys: few
-    parts = parts.withColumn("head", F.left("part_key", F.col("n")))
-    found = long.join(parts, (F.col("key") == F.col("head")) & (long["n"] == parts["n"]))
-    place = F.row_number().over(Window.partitionBy("input_id").orderBy("part_key", "mpn"))
-    return _hits(found.withColumn("place", place).where(F.col("place") <= CANDIDATES), 0.85, "prefix")
+    asked = inputs.where(F.length("key") >= PREFIX_LEAST).select("key").distinct()
+    names = [f.name for f in _part(catalog).schema]
+    none = [F.lit(None).cast(catalog.schema[n].dataType).alias(n) for n in names if n != "part_key"]
+    both = _part(catalog).where("part_key IS NOT NULL").select(F.col("part_key").alias("text"), F.lit(1).alias("is_part"), *[n for n in names if n != "part_key"])
+    both = both.unionByName(asked.select(F.col("key").alias("text"), F.lit(0).alias("is_part"), *none))
+    order = ["text", "is_part", "mpn"]  # an input stands before the part of its own key
+    ranges = checkpointed(both.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    counts = ranges.groupBy("range").agg(F.sum("is_part").alias("n"))  # a row a task
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).select("range", "before")
+    here = F.sum("is_part").over(Window.partitionBy("range").orderBy(*order))
+    placed = ranges.withColumn("here", here).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("here"))
+    after = placed.where("is_part = 0").select(F.col("text").alias("key"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + CANDIDATES)).alias("place"))
+    parts = placed.where("is_part = 1").select("place", F.col("text").alias("part_key"), *[n for n in names if n != "part_key"])
+    found = after.join(parts, "place").where(F.startswith("part_key", "key")).drop("place")
+    return _hits(inputs.where(F.length("key") >= PREFIX_LEAST).join(found, "key"), 0.85, "prefix")
 
 
 def base_part(inputs: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -127,3 +127,18 @@ def test_names_of_voltages_are_asked_for_in_the_category_s_order(spark, category
     asked = spark.createDataFrame(records.fields(), records._FIELD_ROWS).where(F.col("category") == category)
     (row,) = asked.select(records.attribute_specs(attrs, F.col("fields")).alias("specs")).collect()
     assert row.specs[f"{field}.min_v"] == want
+
+
+def test_prefixes_meet_ten_parts_each(spark):
+    """A beginning of all parts returns ten without ranking the others; ends of ranges lose nothing."""
+    rng = random.Random(7)
+    keys = [f"AAAAAA{rng.randrange(3000):04d}" for _ in range(1500)] + ["AAAAAA", "AAAAAB", "ZZZZZZ9", "BBBBBB", "AAAAA", None]
+    catalog = spark.createDataFrame([(f"{k}-{i}", k, k, "Active", 1) for i, k in enumerate(keys)], "mpn string, part_key string, part_base string, lifecycle_status string, authorized_stock long")
+    asked = ["AAAAAA", "AAAAAA", "AAAAAA1", "AAAAAA29", "AAAAAA2999", "AAAAAAX", "ZZZZZZ", "AAAAA", "CCCCCC", "BBBBBB", None, ""]
+    inputs = spark.createDataFrame([(i, k, k) for i, k in enumerate(asked)], "input_id long, input_string string, key string")
+    got = sorted((r.input_id, r.mpn) for r in matching.prefix(inputs, catalog).collect())
+    rows = sorted((k, f"{k}-{i}") for i, k in enumerate(keys) if k)
+    want = sorted((i, mpn) for i, q in enumerate(asked) if q and len(q) >= 6 for _, mpn in [r for r in rows if r[0].startswith(q)][:10])
+    assert got == want
+    plan = matching.prefix(inputs, catalog)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
