@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.part_numbers import key_of
+from quotemill.functions.part_numbers import key_of, normalized
 from quotemill.functions.risk import assessed
-from quotemill.operators import matching, pricing
+from quotemill.operators import alternates, forecast, matching, pricing
+from quotemill.sources.session import checkpointed
 
 PREVIEW, LINE_CAP, REVIEW_BELOW = 120, 200, 0.7
+#: Weeks of a part's history that its details tell.
+HISTORY = 52
 
 
 def listed(requests: DataFrame, lines: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -60,12 +63,15 @@ def panel(lines: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(quotes: DataFrame) -> DataFrame:
-    """Band, heat and forecast of each part: null, never 0, where there are no quotes."""
+def snapshot(quotes: DataFrame, parts: DataFrame | None = None, model: str = "naive") -> DataFrame:
+    """Band, heat and forecast, by the model of that name, of each part: null, never 0, where there are no quotes.
+    parts: part_mpn, lifecycle, category, for models that look at them."""
     weeks = pricing.weekly(quotes)
+    if parts is None:
+        parts = quotes.select("part_mpn").distinct().select("part_mpn", F.lit("Active").alias("lifecycle"), F.lit("").alias("category"))
     heat = pricing.heat_latest(weeks).select("part_mpn", "heat_index", "volatility_flag")
     band = pricing.price_band(quotes).select("part_mpn", *[F.col(c).alias(f"price_{c}") for c in ("p25", "p50", "p75")])
-    last = pricing.naive(weeks).select("part_mpn", "forecast_price")
+    last = forecast.forecasts(weeks, parts, model)
     return band.join(heat, "part_mpn", "full").join(last, "part_mpn", "full")
 
 
@@ -86,6 +92,53 @@ def analyzed(requests: DataFrame, catalog: DataFrame, quotes: DataFrame, today:
     return assessed(out, today)
 
 
+def stand_ins(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
+    """mpn and alternates, its best stand-ins in order (at most five)."""
+    found = alternates.alternates(catalog, wanted)
+    state = catalog.select(F.col("mpn").alias("alternate"), "manufacturer", "description")
+    row = F.struct("rank", F.col("alternate").alias("mpn"), "manufacturer", "description", "lifecycle_status", "authorized_stock", "similarity")
+    return found.join(state, "alternate").groupBy("mpn").agg(F.array_sort(F.collect_list(row)).alias("alternates"))
+
+
+def _first(hits: DataFrame, name: str) -> DataFrame:
+    """The first three hits of an input in order."""
+    row = F.struct("rank", "mpn", "confidence", "method")
+    return hits.where(F.col("rank") <= matching.NEAR_MISSES).groupBy("input_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+
+
+def analyzed_whole(
+    requests: DataFrame, catalog: DataFrame, quotes: DataFrame, today: Column, parts: DataFrame | None = None, model: str = "naive", with_fuzzy: bool = True
+) -> DataFrame:
+    """As analyzed, with all that is told of a line: its key and the rules that made it, the first three candidates or
+    near misses, the part's description and stand-ins, and a forecast by the model of that name (parts: see snapshot)."""
+    found, near = matching.cascade(requests, catalog, with_fuzzy)
+    found = checkpointed(found)
+    read = normalized(requests).select("input_id", F.col("key").alias("normalized_key"), F.col("applied").alias("rules_applied"))
+    best = found.where("rank = 1").select("input_id", F.col("mpn").alias("matched_mpn"), "confidence", F.col("method").alias("match_method"))
+    out = requests.select("input_id", "input_string").join(read, "input_id", "left").join(best, "input_id", "left")
+    out = out.join(_first(found, "candidates"), "input_id", "left").join(_first(near, "near_misses"), "input_id", "left")
+    columns = ("manufacturer", "description", "category", "lifecycle_status", "authorized_stock", "is_defense_grade", "date_introduced")
+    out = out.join(catalog.select(F.col("mpn").alias("matched_mpn"), *columns), "matched_mpn", "left")
+    out = out.join(stand_ins(catalog, best.select(F.col("matched_mpn").alias("mpn"))).withColumnRenamed("mpn", "matched_mpn"), "matched_mpn", "left")
+    out = out.join(snapshot(quotes, parts, model).withColumnRenamed("part_mpn", "manufacturer"), "manufacturer", "left")
+    none = lambda name: F.coalesce(name, F.array().cast(out.schema[name].dataType)).alias(name)
+    lists = ("candidates", "near_misses", "alternates")
+    out = out.withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "match_method": F.coalesce("match_method", F.lit("no_match"))} | {n: none(n) for n in lists})
+    return assessed(out, today)
+
+
+def details_whole(asked: DataFrame, catalog: DataFrame, quotes: DataFrame, parts: DataFrame | None = None, model: str = "naive", weeks: int = HISTORY) -> DataFrame:
+    """As details, with band, heat and forecast of the part's series, its last weeks oldest first, and its stand-ins."""
+    found = checkpointed(details(asked, catalog))
+    series = history(pricing.weekly(quotes), weeks)
+    point = F.struct(*[c for c in ("week_start", "p25", "p50", "p75", "quotes", "avg_lead", "dispersion") if c in series.columns])
+    told = series.groupBy("part_mpn").agg(F.array_sort(F.collect_list(point)).alias("history"))  # at most `weeks`
+    out = found.join(told.withColumnRenamed("part_mpn", "manufacturer"), "manufacturer", "left")
+    out = out.join(snapshot(quotes, parts, model).withColumnRenamed("part_mpn", "manufacturer"), "manufacturer", "left")
+    out = out.join(stand_ins(catalog, found.select("mpn")), "mpn", "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast(out.schema[n].dataType)) for n in ("history", "alternates")})
+
+
 def overridden(lines: DataFrame, overrides: DataFrame) -> DataFrame:
     """Lines with a person's choice laid over: the part's columns are the chosen one's, sure and exact.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions import part_numbers, risk, units
@@ -236,6 +236,47 @@ def analyze_all_tiers(spark: SparkSession, sf: str) -> DataFrame:
     return _analysis(spark, sf, with_fuzzy=True)
 
 
+def _listed(name: str, *fields: str) -> Column:
+    """A list of a few as one text; shares as whole millionths."""
+    shown = lambda r: F.concat_ws(":", *[F.round(r[f] * 1e6).cast("long").cast("string") if f in ("confidence", "similarity") else r[f].cast("string") for f in fields])
+    return F.array_join(F.transform(name, shown), "|").alias(name)
+
+
+def _whole(spark: SparkSession, sf: str, with_fuzzy: bool, model: str = "naive") -> DataFrame:
+    out = requests.analyzed_whole(tables.requests(spark, sf), tables.catalog(spark, sf), tables.quotes(spark, sf), F.lit(TODAY).cast("date"), tables.brands(spark, sf), model, with_fuzzy)
+    return out.select(
+        "input_id", "normalized_key", F.size("rules_applied").alias("n_rules"), "matched_mpn", "description", "match_method",
+        _listed("candidates", "mpn", "confidence", "method"), _listed("near_misses", "mpn", "confidence"), _listed("alternates", "mpn", "manufacturer", "similarity"),
+        F.round("price_p50", 9).alias("price_p50"), F.round("forecast_price", 9).alias("forecast_price"), "forecast_model", "volatility_flag", "risk_score",
+    )
+
+
+def analyze_whole(spark, sf):
+    """Every request with all that is told of it, by the tiers that SQL can say, which have no near misses."""
+    return _whole(spark, sf, with_fuzzy=False)
+
+
+def analyze_whole_all_tiers(spark, sf):
+    """Every request with all that is told of it, by all tiers, near misses for those of no match."""
+    return _whole(spark, sf, with_fuzzy=True)
+
+
+def analyze_by_arima(spark, sf):
+    """Every request, priced by an autoregressive forecast of its part's series."""
+    return _whole(spark, sf, with_fuzzy=False, model="arima").select("input_id", "matched_mpn", "forecast_price", "forecast_model")
+
+
+def part_details_whole(spark, sf):
+    """Every request's part with its series' band, forecast and last year, and its stand-ins."""
+    asked = tables.requests(spark, sf).select("input_id", "input_string")
+    out = requests.details_whole(asked, tables.catalog(spark, sf), tables.quotes(spark, sf), tables.brands(spark, sf))
+    week = lambda h: F.concat_ws(":", h["week_start"].cast("string"), F.round(h["p50"] * 1e4).cast("long").cast("string"), h["quotes"].cast("string"))
+    return out.select(
+        "input_id", "mpn", "manufacturer", F.round("price_p25", 9).alias("price_p25"), F.round("forecast_price", 9).alias("forecast_price"), "volatility_flag",
+        F.array_join(F.transform("history", week), "|").alias("history"), _listed("alternates", "mpn", "manufacturer", "similarity"),
+    )
+
+
 def _overridden(spark: SparkSession, sf: str, analysis: DataFrame) -> DataFrame:
     lines = analysis.select("input_id", "matched_mpn", "match_method", "confidence")
     chosen = tables.catalog(spark, sf).where("authorized_stock > 0").agg(F.min("mpn").alias("chosen_matched_mpn"))
@@ -260,7 +301,7 @@ QUERIES = {
         alternates, spec_intersection, risk_scores, risk_reasons, band_methods_diff, verify_catalog, catalog_summary, rfq_list,
         rfq_detail, rfq_total, line_cap, panel_counts, line_item_sink, union_dedupe, integrity_checks, stratified_sample,
         price_labels, price_tier, sheet_letters, part_details, analyze, apply_overrides, matcher_accuracy_all_tiers, analyze_all_tiers,
-        apply_overrides_all_tiers,
+        apply_overrides_all_tiers, analyze_whole, analyze_whole_all_tiers, analyze_by_arima, part_details_whole,
     )
 } | {"match_exact": match_exact, "match_variant": match_variant, "match_prefix": match_prefix, "match_base": match_base}
 
@@ -361,6 +402,19 @@ _SPECS = """specs AS (
   SELECT category, field, CASE WHEN hi - lo > 0 THEN hi - lo ELSE coalesce(nullif(abs(v[-1] - v[1]), 0), nullif(abs(v[1]), 0), 1.0) END AS spread, 1.0 AS weight
   FROM (SELECT category, field, v, v[len(v) // 4 + 1] AS lo, v[3 * len(v) // 4 + 1] AS hi
         FROM (SELECT category, field, list(value ORDER BY value) AS v FROM specs GROUP BY ALL HAVING count(*) >= 2)))"""
+#: Stand-ins of every part that `wanted` names.
+_ALTERNATES = """far AS (
+  SELECT a.mpn, b.mpn AS alternate, sum(least(abs(a.value - b.value) / coalesce(s.spread, 1.0), 4.0)) / count(*) AS distance
+  FROM specs a JOIN specs b ON a.category = b.category AND a.field = b.field AND a.mpn <> b.mpn
+  LEFT JOIN spread s ON s.category = a.category AND s.field = a.field WHERE a.mpn IN (SELECT mpn FROM wanted) GROUP BY ALL
+), totals AS (
+  SELECT f.mpn, alternate, c.manufacturer, c.lifecycle_status, c.authorized_stock, distance + CASE WHEN c.lifecycle_status IN ('Obsolete', 'EOL') THEN 0.6::DOUBLE ELSE 0 END
+         + CASE WHEN c.authorized_stock = 0 THEN 0.2::DOUBLE ELSE 0 END AS total
+  FROM far f JOIN catalog c ON c.mpn = f.alternate JOIN catalog o ON o.mpn = f.mpn WHERE c.manufacturer <> o.manufacturer
+), placed AS (SELECT *, row_number() OVER (PARTITION BY mpn ORDER BY round(total, 9), alternate) AS rank FROM totals)"""
+_LISTED = """listed AS (
+  SELECT mpn, string_agg(alternate || ':' || manufacturer || ':' || CAST(CAST(round(1e6 / (1 + total)) AS BIGINT) AS VARCHAR), '|' ORDER BY rank) AS alternates
+  FROM placed WHERE rank <= 5 GROUP BY mpn)"""
 _RFQS = """rfqs AS (
   SELECT o_orderkey AS rfq_id, 'Request ' || CAST(o_orderkey AS VARCHAR) || ': ' || repeat(o_orderpriority || ' ', 20) AS raw_input,
          CASE o_orderstatus WHEN 'F' THEN 'text' WHEN 'O' THEN 'email' ELSE 'spreadsheet' END AS source_type, CAST(o_orderdate AS DATE) AS created_at
@@ -393,6 +447,28 @@ FROM requests JOIN h USING (input_id) GROUP BY kind""",
   FROM far f JOIN catalog c ON c.mpn = f.alternate JOIN catalog o ON o.mpn = f.mpn WHERE c.manufacturer <> o.manufacturer
 ), k AS (SELECT *, row_number() OVER (PARTITION BY mpn ORDER BY round(total, 9), alternate) AS rank FROM t)
 SELECT mpn, CAST(rank AS INT) AS rank, alternate, lifecycle_status, authorized_stock, round(1 / (1 + total), 9) AS similarity FROM k WHERE rank <= 5""",
+    "analyze_whole": f"""{_ANALYZE}, {_SPECS}, wanted AS (SELECT mpn FROM tiers WHERE rank = 1), {_ALTERNATES}, {_LISTED}, three AS (
+  SELECT input_id, string_agg(mpn || ':' || CAST(CAST(round(confidence * 1e6) AS BIGINT) AS VARCHAR) || ':' || method, '|' ORDER BY rank) AS candidates
+  FROM tiers WHERE rank <= 3 GROUP BY input_id), fired AS (
+  SELECT input_id, (CASE WHEN s0 <> s1 THEN 1 ELSE 0 END) + (CASE WHEN s1 <> s2 THEN 1 ELSE 0 END) + (CASE WHEN s2 <> s3 THEN 1 ELSE 0 END) + (CASE WHEN s3 <> s4 THEN 1 ELSE 0 END)
+    + (CASE WHEN s4 <> key THEN 1 ELSE 0 END) + (CASE WHEN grade <> '' THEN 1 ELSE 0 END) + (CASE WHEN input_id IN (SELECT input_id FROM readings) THEN 1 ELSE 0 END) AS n_rules
+  FROM (SELECT input_id, input_string AS s0, n0.t AS s1, n2.t AS s2, n6.t AS s3, stub.display AS s4, key, grade
+        FROM requests JOIN n0 USING (input_id) JOIN n2 USING (input_id) JOIN n6 USING (input_id) JOIN stub USING (input_id) JOIN normalized USING (input_id)))
+SELECT a.input_id, n.key AS normalized_key, CAST(n_rules AS INT) AS n_rules, matched_mpn, c.description, match_method, coalesce(t.candidates, '') AS candidates, '' AS near_misses,
+       coalesce(l.alternates, '') AS alternates, price_p50, forecast_price, CASE WHEN forecast_price IS NOT NULL THEN 'naive' END AS forecast_model, volatility_flag, risk_score
+FROM analyzed a JOIN normalized n USING (input_id) JOIN fired USING (input_id) LEFT JOIN three t USING (input_id) LEFT JOIN listed l ON l.mpn = a.matched_mpn LEFT JOIN catalog c ON c.mpn = a.matched_mpn""",
+    "part_details_whole": f"""WITH {CATALOG}, {REQUESTS}, {QUOTES}, {WEEKLY}, {BAND}, {_LATEST}, {_SPECS}, parts AS (
+  SELECT *, regexp_replace(upper(mpn), '{part_numbers.SEPARATORS}', '', 'g') AS part_key FROM catalog
+), chosen AS (
+  SELECT r.input_id, p.*, row_number() OVER (PARTITION BY r.input_id ORDER BY upper(mpn) <> upper(input_string), lifecycle_status IN ('Obsolete', 'EOL'), authorized_stock = 0, mpn) AS k
+  FROM requests r JOIN parts p ON p.part_key = regexp_replace(upper(input_string), '{part_numbers.SEPARATORS}', '', 'g') QUALIFY k = 1
+), wanted AS (SELECT mpn FROM chosen), {_ALTERNATES}, {_LISTED}, told AS (
+  SELECT part_mpn, string_agg(CAST(CAST(week_start AS DATE) AS VARCHAR) || ':' || CAST(CAST(round(p50 * 1e4) AS BIGINT) AS VARCHAR) || ':' || CAST(quotes AS VARCHAR), '|' ORDER BY week_start) AS history
+  FROM (SELECT *, row_number() OVER (PARTITION BY part_mpn ORDER BY week_start DESC) AS k FROM weekly) WHERE k <= 52 GROUP BY part_mpn)
+SELECT input_id, ch.mpn, manufacturer, round(b.p25, 9) AS price_p25, round(f.forecast_price, 9) AS forecast_price, f.volatility_flag,
+       coalesce(told.history, '') AS history, coalesce(l.alternates, '') AS alternates
+FROM chosen ch LEFT JOIN band b ON b.part_mpn = ch.manufacturer LEFT JOIN flagged f ON f.part_mpn = ch.manufacturer
+LEFT JOIN told ON told.part_mpn = ch.manufacturer LEFT JOIN listed l ON l.mpn = ch.mpn""",
     "spec_intersection": f"""WITH {CATALOG}, {_SPECS} SELECT category, field FROM specs GROUP BY category, field
 HAVING count(*) = (SELECT count(*) FROM catalog c WHERE c.category = specs.category)""",
     "risk_scores": f"""{_CATALOG_LINES} SELECT mpn, risk_score, {_TITLE} AS recommendation,
