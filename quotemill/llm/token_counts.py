@@ -6,11 +6,13 @@ away the old count and adds the new one, in the group that the revised document
 language and version in the tasks, then by Spark, and the sums are stored with the batch. Totals are the sums of the
 committed batches' sums; texts are read once, when they come.
 
-A batch's files are written under a name of their own; a numbered commit makes them count. The number is the one
-after the last commit that the batch has read, and only one writer can create it: of two batches at once one starts
-anew from the other's ledger. A batch id that is committed is not taken again, so a batch may be sent or retried at
-will. After COMPACT_AFTER commits the ledger and the totals are written as a snapshot, so that a batch reads that and
-the few commits after it, not all history.
+A batch's files are written under a name of their own; a numbered commit makes them count. The commit's file is written
+whole under another name and gets its number by a rename that fails where the number is taken: a commit is there with all
+its content or not at all, and a writer that dies leaves none. The number is the one after the last commit that the
+batch has read: of two batches at once one starts anew from the other's ledger. A commit that can't be read is an error,
+never left out. A batch id that is committed is not taken again, so a batch may be sent or retried at will. After
+COMPACT_AFTER commits the ledger, the totals and the ids of all batches are written as a snapshot, so that a batch reads
+that and the few commits after it, not all history.
 
 Null text: an empty one. Null source or language: groups of their own. Null doc_id: the documents without an id, which
 a null in deletes or revisions names all together. Deletes and revisions of documents that the ledger lacks change
@@ -23,7 +25,6 @@ commit and change nothing. Empty tables: no totals. Other columns are ignored.
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -88,38 +89,46 @@ class TokenRollup:
         """The numbers of commits or snapshots: a short file each."""
         return sorted(int(x.getPath().getName()) for x in self._fs().listStatus(self._path(name)) if x.getPath().getName().isdigit())
 
-    def _claim(self, name: str, content: dict) -> bool:
-        """Creates a file, unless there is one of that name."""
+    def _published(self, name: str, content: dict) -> bool:
+        """Writes a file whole and gives it its name, unless there is one of that name."""
+        made = self._path(f"making-{uuid.uuid4().hex}")
+        out = self._fs().create(made, False)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        plainly = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)  # without replacing
         try:
-            out = self._fs().create(self._path(name), False)
+            files.rename(made, self._path(name), plainly)
         except Py4JJavaError as error:
+            self._fs().delete(made, False)
             if "AlreadyExists" in str(error.java_exception):
                 return False
             raise
-        out.write(bytearray(json.dumps(content).encode()))
-        out.close()
         return True
 
+    def _since(self) -> tuple[int, int, list]:
+        """The numbers of the last commit and snapshot, and what the commits after that say: a few."""
+        last, start = max(self._numbers("commits"), default=0), max(self._numbers("snapshots"), default=0)
+        if last <= start:
+            return max(last, start), start, []
+        files = [f"{self.folder}/commits/{n:012d}" for n in range(start + 1, last + 1)]
+        rows = self.spark.read.schema(_COMMIT).option("mode", "FAILFAST").json(files).where("folder IS NOT NULL").collect()
+        if len(rows) != len(files):
+            raise RuntimeError(f"of {len(files)} commits after {start} in {self.folder} only {len(rows)} can be read")
+        return last, start, rows
+
     def _state(self) -> tuple[int, list[str]]:
         """The number of the last commit, and the folders that make up what it left: the last snapshot's and those of
-        the commits since, a few."""
-        last, snapshots = max(self._numbers("commits"), default=0), self._numbers("snapshots")
-        start = max(snapshots, default=0)
-        folders = [f"snapshot-{start}"] if start else []
-        if last > start:
-            files = [f"{self.folder}/commits/{n:012d}" for n in range(start + 1, last + 1)]
-            for _ in range(50):  # one may be about to be written
-                rows = self.spark.read.schema(_COMMIT).json(files).collect()
-                if len(rows) == len(files):
-                    break
-                time.sleep(0.1)
-            folders += sorted(r.folder for r in rows)
-        return last, folders
+        the commits since."""
+        last, start, rows = self._since()
+        return last, ([f"snapshot-{start}"] if start else []) + sorted(r.folder for r in rows)
 
     def has(self, batch_id: str) -> bool:
-        if not self._numbers("commits"):
-            return False
-        return not self.spark.read.schema(_COMMIT).json(f"{self.folder}/commits").where(F.col("batch_id") == batch_id).isEmpty()
+        _, start, rows = self._since()
+        if any(r.batch_id == batch_id for r in rows):
+            return True
+        return bool(start) and not self._read("ids", "batch_id string", [f"snapshot-{start}"]).where(F.col("batch_id") == batch_id).isEmpty()
 
     def _read(self, what: str, schema: str, folders: list[str]) -> DataFrame:
         paths = [f"{self.folder}/{x}/{what}" for x in folders]
@@ -177,7 +186,7 @@ class TokenRollup:
             for rows in signed or [self.spark.createDataFrame([], _ROW)]:
                 rows.write.mode("append").parquet(f"{self.folder}/{name}/rows")
             self._summed(name)
-            if self._claim(f"commits/{last + 1:012d}", {"batch_id": batch_id, "folder": name}):
+            if self._published(f"commits/{last + 1:012d}", {"batch_id": batch_id, "folder": name}):
                 break
             self._fs().delete(self._path(name), True)
         if (last + 1) % COMPACT_AFTER == 0:
@@ -191,14 +200,17 @@ class TokenRollup:
 
     def compact(self) -> None:
         """Writes what stands as a snapshot, which later batches read in place of the commits up to it."""
-        last, folders = self._state()
+        last, start, commits = self._since()
+        folders = ([f"snapshot-{start}"] if start else []) + [r.folder for r in commits]
         name, new = f"snapshot-{last}", f"making-{uuid.uuid4().hex}"
-        if last in self._numbers("snapshots"):
+        if last == start:
             return
+        ids = self._read("ids", "batch_id string", folders[:1] if start else [])
+        ids.unionByName(self.spark.createDataFrame([(r.batch_id,) for r in commits], "batch_id string")).write.parquet(f"{self.folder}/{new}/ids")
         self._ledger(folders).write.parquet(f"{self.folder}/{new}/rows")
         self._summed(new)
         if self._fs().rename(self._path(new), self._path(name)):
-            self._claim(f"snapshots/{last}", {"folder": name})
+            self._published(f"snapshots/{last}", {"folder": name})
 
 
 def new_rollup(spark: SparkSession) -> TokenRollup:

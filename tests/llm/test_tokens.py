@@ -226,6 +226,34 @@ def test_two_batches_at_once_are_ordered(spark):
     assert _totals(rollup) == {("a", "en"): [1, 3]} and rollup._numbers("commits") == [1, 2, 3]
 
 
+def test_commits_are_whole_or_absent(spark, monkeypatch):
+    """A writer that dies before its commit has its name leaves nothing; a commit without content is an error for all."""
+    monkeypatch.setattr(token_counts, "COMPACT_AFTER", 3)
+    rows = lambda d, n: spark.createDataFrame([(d, "a", "en", "v", n)], "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    rollup = token_counts.new_rollup(spark)
+    rollup.apply("load", inserts=rows(1, 10))
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(rollup, "_published", dies)
+    with pytest.raises(KeyboardInterrupt):
+        rollup.apply("lost", inserts=rows(2, 5))
+    monkeypatch.undo()
+    monkeypatch.setattr(token_counts, "COMPACT_AFTER", 3)
+    assert rollup._numbers("commits") == [1] and _totals(rollup) == {("a", "en"): [1, 10]}
+    assert rollup.apply("lost", inserts=rows(2, 5)) and _totals(rollup) == {("a", "en"): [2, 15]}
+    assert not rollup._published("commits/000000000002", {"batch_id": "x", "folder": "y"})
+    rollup._fs().create(rollup._path("commits/000000000003"), False).close()
+    for read in (rollup.totals, rollup.ledger, lambda: rollup.apply("delete", deletes=rows(2, 0)), lambda: rollup.has("load")):
+        with pytest.raises(Exception):  # noqa: B017  Spark's or the rollup's own
+            read()
+    rollup._fs().delete(rollup._path("commits/000000000003"), False)
+    assert rollup.apply("delete", deletes=rows(2, 0)) and rollup._numbers("snapshots") == [3]
+    assert rollup.has("load") and rollup.has("delete") and not rollup.has("other")
+    assert sorted(r.batch_id for r in spark.read.parquet(f"{rollup.folder}/snapshot-3/ids").collect()) == ["delete", "load", "lost"]
+
+
 def test_maintained_totals_against_brute_force(spark, whole):
     texts = [*cases.TEXTS, (20, "a\nb\na\nb", "en", "a"), (21, "x y\nx y", "de", "b"), (22, "z\nz", "de", "b")]
     labels = spark.createDataFrame([(1, 0, 5), (22, 0, 5), (7, 1, 5), (99, 0, 5), (None, 1, 5)], "doc_id long, quality int, source int")
