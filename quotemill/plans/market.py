@@ -250,13 +250,19 @@ def arima_forecast(spark, sf):
     return forecast.arima(pricing.weekly(tables.quotes(spark, sf)))
 
 
+def arima_orders(spark, sf):
+    """How many parts each order was chosen for, by likelihood."""
+    fits = forecast.arima_fits(pricing.weekly(tables.quotes(spark, sf)))
+    return fits.groupBy(F.array_join("order", ",").alias("chosen")).agg(F.count("*").alias("parts"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         weekly_quotes, price_band, heat_latest, heat_asof, verify_dispersion, verify_busy_weeks, verify_history, verify_short_series,
         forecast_features, naive_forecast, backtest_predictions, backtest_segments, backtest_lifecycle, backtest_wins, model_rank,
         backtest_side_by_side, price_swing, sparkline_stats, history_projection, series_arrays, week_spine, min_history, series_scan,
-        error_metrics, gbm_forecast, arima_forecast, backtest_models, backtest_model_wins,
+        error_metrics, gbm_forecast, arima_forecast, arima_orders, backtest_models, backtest_model_wins,
     )
 }
 
