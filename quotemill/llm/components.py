@@ -41,8 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) of every node with an edge. edges: u, v.
 
     Sides may come in any order and repeat; an edge from a node to itself and one with a null are ignored.
-    A round joins the edges with one least neighbour a node, so no node's edges are gathered anywhere. It ends
-    when a round changes nothing: then every edge leads straight to its component's least node.
+    A round joins the edges with one least neighbour a node: the aggregation gathers no node's edges, but a hub's pass
+    through one task of that join, 16 bytes each. It ends when a round changes nothing: then every edge leads straight to its component's least node.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = _kept(edges)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import text_blocks, written
+from .shared import shared_folder, text_blocks, written
 from .words import shingle_sets
 
 BANDS, ROWS = 24, 3
@@ -56,6 +56,8 @@ TRIES = 3
 #: Bytes of sets that a task confirming a group of pairs holds at once, and pairs of a group; and of their members in
 #: one step of the count.
 GROUP_BYTES, GROUP_PAIRS, STEP = 8 << 20, 2048, 64
+#: Rows of a small table that are worth a partition.
+PARTITION_ROWS = 50_000
 #: Classes to be confirmed whose names, of 8 bytes each, may be broadcast to find their texts.
 BROADCAST_ROWS = 250_000
 
@@ -140,6 +142,19 @@ def _members(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, band int, rep long")
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df, an aggregate, as files. Joined with them, a key of any number of rows is cut into many tasks as it runs; with
+    the aggregate itself as a side it would have to stay in one."""
+    return df.checkpoint()
+
+
+def _few(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as files, read by as many tasks as its rows are worth, and the number of its rows."""
+    df = df.checkpoint()
+    rows = df.count()
+    return df.coalesce(max(1, -(-rows // PARTITION_ROWS))), rows
+
+
 def _agree(one: list[bytes], other: list[bytes]) -> np.ndarray:
     sides = zip(unpacked(one), unpacked(other))
     return sum((a == b).sum(axis=1) for a, b in sides) / (BANDS * ROWS + MORE)
@@ -183,10 +198,10 @@ def _sets(docs: DataFrame, reps: DataFrame, bounded: bool) -> DataFrame:
     return found.join(reps, ["rep", "digest"]).select("node", "set").dropDuplicates(["node"])
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """node, set of the classes in the pairs a, b."""
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    bounded = named.count() <= BROADCAST_ROWS
+def _sets_of(named: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, set of the classes named by node."""
+    named, rows = _few(named.select("node").distinct())
+    bounded = rows <= BROADCAST_ROWS
     reps = classes.select("node", "rep", "digest").join(F.broadcast(named) if bounded else named, "node", "left_semi")
     return _sets(docs, reps, bounded)
 
@@ -196,18 +211,19 @@ def _star_groups(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sets, so that a pivot of any number of partners is many groups, each with the pivot's set once."""
     sized = pairs.join(classes.select(F.col("node").alias("b"), "n"), "b")
     need = F.greatest(F.count("*") / GROUP_PAIRS, F.sum("n") * 8 / GROUP_BYTES)
-    parts = sized.groupBy("a").agg(F.ceil(need).cast("long").alias("parts"))
+    parts = _apart(sized.groupBy("a").agg(F.ceil(need).cast("long").alias("parts")))
     return pairs.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"), "a", "b")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs g, a, b those whose whole sets meet the threshold, as edges u, v: a group's sets are sent once each and
     not once for each of its pairs."""
-    pairs = pairs.checkpoint()
-    if pairs.isEmpty():
+    pairs, rows = _few(pairs)
+    if not rows:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    sides = [pairs.select(F.col("g").alias("h"), F.col(s).alias("node")) for s in "ab"]
-    sets = sides[0].unionByName(sides[1]).distinct().join(_sets_of(pairs, docs, classes), "node").select("h", "node", "set")
+    sides = [pairs.select(F.col("g").alias("h"), F.col(s).alias("node")).distinct() for s in "ab"]
+    named, _ = _few(sides[0].unionByName(sides[1]).distinct())
+    sets = named.join(_sets_of(named, docs, classes), "node").select("h", "node", "set")
 
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         names = sets.column("node").to_numpy()
@@ -230,7 +246,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFra
             mark[number[one]] = False
         return pairs.select(["a", "b"]).filter(pa.array(keep)).rename_columns(["u", "v"])
 
-    return pairs.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(run, "u long, v long").checkpoint()
+    return _few(pairs.groupBy("g").cogroup(sets.groupBy("h")).applyInArrow(run, "u long, v long"))[0]
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -309,7 +325,7 @@ def _mixed(members: DataFrame) -> DataFrame:
     spread = counts.groupBy("k1", "k2").agg(
         F.sum("c").alias("size"), F.max("c").alias("n_major"), F.max_by("component", F.struct("c", "component")).alias("major")
     )
-    return members.join(spread.where("n_major < size"), ["k1", "k2"])
+    return members.join(_apart(spread.where("n_major < size")), ["k1", "k2"])
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -317,7 +333,7 @@ def _stars(members: DataFrame) -> DataFrame:
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     weighed = members.select("key", "rep").join(weights, "rep")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("weight", "rep"))["rep"].alias("pivot"))
-    pairs = members.join(pivots, "key").where("rep <> pivot")
+    pairs = members.join(_apart(pivots), "key").where("rep <> pivot")
     return pairs.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
 
 
@@ -331,7 +347,7 @@ def _strays(members: DataFrame, found: DataFrame) -> DataFrame:
     largest = parts.groupBy("key").agg(
         F.sum("c").alias("size"), F.max_by(F.struct("c", "component", "picks"), F.struct("c", "component")).alias("major")
     )
-    largest = largest.where("major.c < size").select("key", "major")
+    largest = _apart(largest.where("major.c < size").select("key", "major"))
     pairs = left.join(largest, "key").where("component <> major.component")
     return pairs.select(F.explode(F.array_distinct("major.picks")).alias("a"), F.col("node").alias("b")).distinct()
 
@@ -366,10 +382,10 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     members = written(_members(own), "bands")
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(members.join(shared, "key"), "buckets")
-    stars = _stars(members).checkpoint()
-    edges = _confirmed(_star_groups(_by_signature(stars, own).checkpoint(), classes), docs, classes)
-    strays = _by_signature(_strays(members, components(edges)), own).checkpoint()
+    members = written(members.join(_apart(shared), "key"), "buckets")
+    stars, _ = _few(_stars(members))
+    edges = _confirmed(_star_groups(_few(_by_signature(stars, own))[0], classes), docs, classes)
+    strays, _ = _few(_by_signature(_strays(members, components(edges)), own))
     edges = edges.unionByName(_confirmed(_star_groups(strays, classes), docs, classes))
     pairs = _candidates(members, components(edges), own)
     return classes, edges.unionByName(_confirmed(pairs, docs, classes))
@@ -377,6 +393,7 @@ def links(docs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable), kept, of every row of docs."""
+    shared_folder(docs.sparkSession)
     signed = written(_signed(docs), "signatures")
     classes, edges = links(docs, signed)
     # nodes are hashes of sets; the rows of a doc_id tie its sets together
