@@ -222,13 +222,11 @@ def _features(spark, sf):
 
 def gbm_forecast(spark, sf):
     """Next week of every part by boosted trees trained on all weeks but each part's last."""
-    f = _features(spark, sf)
-    last = f.groupBy("part_mpn").agg(F.max("week_index").alias("week_index"))
-    return forecast.gbm(forecast.train_gbm(f), f.join(last, ["part_mpn", "week_index"], "left_semi"))
+    return forecast.rolling_gbm(_features(spark, sf), [None])
 
 
-#: Origins that the evaluation of all models takes here, of the 25 it is made for: each costs a fit of TREES trees.
-MODEL_ORIGINS, TREES = (77, 89, 101), 40
+#: Origins that the evaluation of all models takes, and trees of a fit at each.
+MODEL_ORIGINS, TREES = tuple(range(77, 102)), 200
 
 
 def _model_predictions(spark, sf):
