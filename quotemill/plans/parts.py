@@ -111,10 +111,11 @@ def risk_reasons(spark, sf):
 
 
 def band_methods_diff(spark, sf):
-    """The methods that each band adds to the one below."""
-    rows = [(name, risk.METHODS[:n], risk.METHODS[: (risk.BANDS[i - 1][4] if i else 0)]) for i, (name, _, _, _, n) in enumerate(risk.BANDS)]
+    """The methods that the band of catalog parts adds to the one below, and for how many parts."""
+    rows = [(title, risk.METHODS[:n], risk.METHODS[: (risk.BANDS[i - 1][4] if i else 0)]) for i, (_, title, _, _, n) in enumerate(risk.BANDS)]
     bands = spark.createDataFrame(rows, "band string, methods array<string>, below array<string>")
-    return bands.select("band", F.explode(F.array_except("methods", "below")).alias("method"))
+    parts = _risk_rows(spark, sf).where("risk_score IS NOT NULL").groupBy(F.col("test.title").alias("band")).agg(F.count("*").alias("parts"))
+    return bands.select("band", F.explode(F.array_except("methods", "below")).alias("method")).join(parts, "band")
 
 
 def verify_catalog(spark, sf):
@@ -526,7 +527,9 @@ SELECT mpn, lifecycle_status FROM k WHERE dead AND place <= 100 OR NOT dead AND
     CASE WHEN grade <> '' THEN 'split_grade_suffix' END, CASE WHEN confusable THEN 'confusable_variants' END], lambda r: r IS NOT NULL)) AS rule FROM steps)
 SELECT rule, count(*) AS n FROM fired GROUP BY rule""",
     "price_labels": f"""SELECT p_partkey, {_LABEL} AS shown FROM (SELECT p_partkey, p_retailprice / [1.0, 1000.0, 100000.0][p_partkey % 3 + 1] AS p FROM part)""",
-    "band_methods_diff": "SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{m}')" for i, (b, _, _, _, n) in enumerate(risk.BANDS) for m in risk.METHODS[(risk.BANDS[i - 1][4] if i else 0) : n]) + ") AS t(band, method)",
+    "band_methods_diff": f"{_CATALOG_LINES}, banded AS (SELECT {_TITLE} AS band, count(*) AS parts FROM summed WHERE risk_score IS NOT NULL GROUP BY 1) SELECT band, method, parts FROM banded JOIN (VALUES "
+    + ", ".join(f"('{t}', '{m}')" for i, (_, t, _, _, n) in enumerate(risk.BANDS) for m in risk.METHODS[(risk.BANDS[i - 1][4] if i else 0) : n])
+    + ") AS t(band, method) USING (band)",
     "analyze": f"{_ANALYZE} SELECT * FROM analyzed",
     "apply_overrides": f"""{_ANALYZE}, pick AS (SELECT min(mpn) AS mpn FROM catalog WHERE authorized_stock > 0)
 SELECT input_id, coalesce(matched_mpn, mpn) AS matched_mpn, CASE WHEN matched_mpn IS NULL THEN 'exact' ELSE match_method END AS match_method,
