@@ -25,14 +25,14 @@ PACKAGING_SUFFIXES = [
 ]
 #: Patterns of quantities at the end, of a distributor's stub, of separators and of grades.
 QUANTITY_ENDS = (
-    r"(?:^|[\s,;])(?:QTY|QUANTITY|PCS?|PIECES|EA|EACH|X)\s*[:=]?\s*[0-9]+\s*$"
-    r"|(?:^|[\s,;])[0-9]+\s*(?:PCS?|PIECES|EA|EACH)\s*$"
-    r"|\s*[(\[]\s*[0-9]+\s*[)\]]\s*$"
-    r"|\s+X[0-9]+\s*$"
+    r"(?:^|[\s,;])(?:QTY|QUANTITY|PCS?|PIECES|EA|EACH|X)\s*[:=]?\s*\d+\s*$"
+    r"|(?:^|[\s,;])\d+\s*(?:PCS?|PIECES|EA|EACH)\s*$"
+    r"|\s*[(\[]\s*\d+\s*[)\]]\s*$"
+    r"|\s+X\d+\s*$"
 )
-DISTRIBUTOR_STUB = r"^[0-9]{2,4}-([A-Z0-9]{3,})"
+DISTRIBUTOR_STUB = r"^\d{2,4}-([A-Z0-9]{3,})"
 SEPARATORS = r"[\s\-_./\\,#]+"
-GRADED = r"^([A-Z0-9]{6,}?)([TQUHIYZ][0-9]|[EICM][0-9]|-?[0-9]{1,2}[EICM])$"
+GRADED = r"^([A-Z0-9]{6,}?)([TQUHIYZ]\d|[EICM]\d|-?\d{1,2}[EICM])$"
 VARIANTS, CONFUSABLE_MOST = 8, 6
 
 

@@ -104,7 +104,7 @@ sheet_rows AS (
 RECORDS = [
     ("Thick Film Resistors - SMD", "Thick Film Resistors 0603 0.1% 25ppm {n}KOhm 0.25W 75V -55C - 155C", [("Resistance", "{n} kOhms"), ("Power Rating", "250 mW"), ("Tolerance", "-")]),
     ("Multilayer Ceramic Capacitors MLCC", "Ceramic Capacitors {n}V 0.033uF C0G 1210 5%", [("Capacitance", "{n} nF"), ("Voltage Rating DC", "630 V"), ("Capacitance", "9 pF")]),
-    ("MOSFET", "N-Channel MOSFET 1200 V, 8.5 mOhm typ., {n} A in a STPAK", [("Vds - Drain-Source Voltage", "TBD"), ("Id - Continuous Drain Current", "{n} A")]),
+    ("MOSFET", "N-Channel MOSFET, {n} A, 1200 V, 8.5 mOhm", [("Vds - Drain-Source Voltage", "TBD"), ("Id - Continuous Drain Current", "{n} A")]),
     ("LDO Voltage Regulators", "LDO Voltage Regulators {n} mA, 38 V low-dropout regulator, with 45uA quiescent current", [("Output Voltage", "3.3 V"), ("Operating Temperature", "-40 C to +125 C")]),
     ("8-bit Microcontrollers - MCU", "MCU {n}KB Flash, 4KB RAM, 20MHz, 12-bit ADC, 1.62-5.5V, 85C", [("Program Memory Size", "{n} kB"), ("Number of I/Os", "26"), ("Supply Voltage - Min", "1.8 V")]),
     ("Crystals", "Crystal Oscillator 3225 {n}MHz 50ppm -40C - 85C CMOS 1.2V", [("Frequency", "{n} MHz"), ("Load Capacitance", "18 pF")]),
