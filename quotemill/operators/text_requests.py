@@ -18,12 +18,13 @@ SKIPPED = {
     "rule": r"^\s*[-=_*~#]{3,}\s*$",
     "table_header": r"(?i)^\s*(?:part\s*(?:number|no\.?|#)?|mpn|p/?n|item|component|description)\b.{0,60}\b(?:qty|quantity|amount|price|each|uom)\b",
 }
-#: Quoted lines and what introduces them, what begins a signature, list marks, what parts fields.
+#: Quoted lines and what introduces them (two patterns in one, as either makes a line quoted), what begins a signature, list marks, what parts fields.
 QUOTED = r"(?i)^\s*>|^\s*on .+ (?:wrote|schrieb):|^\s*-+\s*original message\s*-+|^\s*from:.*sent:"
 SIGNATURE = r"(?i)^\s*(?:--\s*$|__+\s*$|sent from my )"
 LIST_MARK = r"^\s*(?:[-*•·–]|\(?\d{1,3}[.)])\s+"
 DELIMITERS = [r"\t+", r"\s*;\s*", r",\s+", r"\s{2,}"]
-#: Phrases of quantity, first ones first: what stands before the number, the number, what ends it.
+#: Phrases of quantity, first ones first: what stands before the number, the number, what ends it. In three
+#: parts, as the guard against prices stands around the number.
 PHRASES = [
     (r"\bx\s*", r"\d[\d,\s]*", r"\b"),
     (r"\bqty\.?\s*[:=]?\s*", r"\d[\d,\s]*", r"\b"),

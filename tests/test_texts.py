@@ -144,3 +144,40 @@ def test_descriptions(spark):
     got = {r.i: r.found for r in rows.select("i", descriptions.described(F.col("text"), F.col("patterns")).alias("found")).collect()}
     for i, (_, text, want) in enumerate(DESCRIPTIONS):
         assert got[i] == want, text
+
+
+def test_requests_and_lines_are_saved_together(spark, tmp_path, monkeypatch):
+    """A writer killed between both leaves nothing; names are unique over all saves; of two at once one checks anew."""
+    store = sinks.RequestStore(spark, str(tmp_path / "store"))
+    heads = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "rfq_id long, raw_input string")
+    lines = lambda *rows: spark.createDataFrame([(i, p, 0.0, ["r"]) for i, p in rows], "rfq_id long, place int, price_p50 double, risk_reasons array<string>")
+    assert store.headers() is None and store.lines() is None
+    assert store.save(heads(1, 2), lines((1, 0), (1, 1), (2, 0))) == 1
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.save(heads(3), lines((3, 0)))
+    assert {r.rfq_id for r in store.headers().collect()} == {1, 2} and store.lines().count() == 3
+    for bad in ((heads(2), lines()), (heads(4, 4), lines()), (heads(4), lines((4, 0), (4, 0))), (heads(4), lines((5, 0)))):
+        with pytest.raises(ValueError):
+            store.save(*bad)
+    own, overtaken = store._publish, []
+
+    def slow(number, batch):
+        if not overtaken:
+            overtaken.append(number)
+            sinks.RequestStore(spark, store.folder).save(heads(7), lines((7, 0)))
+        return own(number, batch)
+
+    monkeypatch.setattr(store, "_publish", slow)
+    assert store.save(heads(3), lines((3, 0), (3, 1))) == 3
+    assert {r.rfq_id for r in store.headers().collect()} == {1, 2, 3, 7}
+    row = store.lines().where("rfq_id = 3 AND line_no = 2").first()
+    assert row.price_p50 is None and row.risk_reasons == '["r"]'
+    overtaken.clear()
+    with pytest.raises(ValueError):
+        store.save(heads(7), lines((7, 0)))
