@@ -9,7 +9,9 @@ document's token beside an item's token. Around each, the tokens are then compar
 Only hashes meet in the join. The items' side is broadcast if its number of rows, counted first, is under a
 bound; else Spark shuffles both. Only documents with a hit are read again, to compare tokens.
 
-Items with fewer than 13 tokens, null or empty, match nothing: too short to tell. Null or empty text: no match.
+Items with fewer than 13 tokens match where all their tokens stand in line, without exception: the hash of the whole item is
+joined with those of as many tokens in line of the documents, for each such length that an item has. Null items and
+those without tokens match nothing. Null or empty text: no match.
 Null doc_id: rows are compared like others and come back as null. Rows with one doc_id: a match in any counts;
 the same match is told once. A very long text is one row of hashes. Ties: as overlaps() says. decontaminated() drops only the rows that match, whatever their doc_id. Empty tables: no rows. Other columns are ignored.
 """
@@ -47,6 +49,19 @@ def _seeds(rows: DataFrame, *names: str) -> DataFrame:
     return both.select(*names, F.posexplode("seeds").alias("place", "seed"))
 
 
+def _runs(rows: DataFrame, lengths: list[int], *names: str) -> DataFrame:
+    """names, place, seed: a hash for each run of as many tokens as one of `lengths` says."""
+    hashes = F.transform(F.col("tokens"), lambda w: F.xxhash64(w))
+    rows = rows.select(*names, F.size("tokens").alias("size"), hashes.alias("hashes"))
+
+    def of_length(n: int) -> Column:
+        places = F.when(F.col("size") >= n, F.sequence(F.lit(0), F.col("size") - n))
+        return F.transform(places, lambda i: F.xxhash64(F.lit(-n), *[F.get("hashes", i + p) for p in range(n)]))
+
+    both = rows.select(*names, F.explode(F.array(*map(of_length, lengths))).alias("seeds"))
+    return both.select(*names, F.posexplode("seeds").alias("place", "seed"))
+
+
 def _row(docs: DataFrame) -> Column:
     """Names rows by what they hold: rows of one name match the same."""
     return F.xxhash64(docs["doc_id"], docs["text"])
@@ -54,13 +69,18 @@ def _row(docs: DataFrame) -> Column:
 
 def _alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """row, doc_id, item_id, shift, agree, starts of the alignments that hold a passage; doc_id is that of the row."""
-    test = items.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= WINDOW)
+    test = items.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= 1)
     test = written(test, "items")
-    keys = _seeds(test, "item_id").select("seed", "item_id", F.col("place").alias("item_place")).distinct()
-    keys = written(keys, "seeds")
+    short = sorted(r.n for r in test.select(F.size("tokens").alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # 12 at most
+    keys = _seeds(test.where(F.size("tokens") >= WINDOW), "item_id")
+    for n in short:
+        keys = keys.unionByName(_runs(test.where(F.size("tokens") == n), [n], "item_id"))
+    keys = written(keys.select("seed", "item_id", F.col("place").alias("item_place")).distinct(), "seeds")
     bounded = keys.count() <= BROADCAST_ROWS
     train = docs.select(_row(docs).alias("row"), tokens(F.col("text")).alias("tokens"))
     found = _seeds(train.where(F.size("tokens") >= WINDOW), "row")
+    if short:
+        found = found.unionByName(_runs(train, short, "row"))
     hits = found.join(F.broadcast(keys) if bounded else keys, "seed")
     hits = hits.select("row", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     hits = written(hits, "hits")
@@ -75,9 +95,10 @@ def _alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
         "item_tokens", lambda w, i: F.coalesce(w == F.get("doc_tokens", i + F.col("shift")), F.lit(False)).cast("int")
     )
     both = both.select("row", "doc_id", "item_id", "shift", agree.alias("agree"))
+    window = F.least(F.lit(WINDOW), F.size("agree"))
     starts = F.filter(
-        F.sequence(F.lit(0), F.size("agree") - WINDOW),
-        lambda i: F.aggregate(F.slice("agree", i + 1, WINDOW), F.lit(0), lambda a, x: a + x) >= WINDOW - SUBSTITUTIONS,
+        F.sequence(F.lit(0), F.size("agree") - window),
+        lambda i: F.aggregate(F.slice("agree", i + 1, window), F.lit(0), lambda a, x: a + x) >= F.when(window < WINDOW, window).otherwise(WINDOW - SUBSTITUTIONS),
     )
     return both.withColumn("starts", starts).where(F.size("starts") > 0)
 
@@ -90,9 +111,8 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     in the item.
     """
     both = _alignments(docs, items)
-    inside = F.filter(
-        F.sequence(F.array_min("starts"), F.array_max("starts") + (WINDOW - 1)), lambda i: F.get("agree", i) == 1
-    )
+    last = F.array_max("starts") + F.least(F.lit(WINDOW), F.size("agree")) - 1
+    inside = F.filter(F.sequence(F.array_min("starts"), last), lambda i: F.get("agree", i) == 1)
     both = both.select("doc_id", "item_id", "shift", inside.alias("inside"))
     each = both.select(
         "doc_id", "item_id",
@@ -113,7 +133,7 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.join(gone, _row(docs) == gone["__gone"], "left_anti")
 
 
-#: The same rule without masks. Of 13 tokens in line of which 11 agree, four in a row agree, so alignments come
+#: The same rule without masks; short items are looked for as texts. Of 13 tokens in line of which 11 agree, four in a row agree, so alignments come
 #: from runs of four tokens; they are then compared in the same way.
 ORACLE = f"""
 WITH d AS (
@@ -148,6 +168,12 @@ WITH d AS (
 ), b AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC, lo + shift, lo) AS k FROM e
 )
+SELECT doc_id, item_id, min(length(before) - length(replace(before, ' ', ''))) AS doc_start, 0::BIGINT AS item_start, min(n)::BIGINT AS n_tokens, min(n)::BIGINT AS n_matches
+FROM (
+  SELECT doc_id, item_id, len(t.w) AS n, left(' ' || array_to_string(d.w, ' ') || ' ', strpos(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(t.w, ' ') || ' ') - 1) AS before
+  FROM t JOIN d ON len(t.w) < {WINDOW} AND t.w <> [''] AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(t.w, ' ') || ' ')
+) GROUP BY doc_id, item_id
+UNION ALL
 SELECT doc_id, item_id, CAST(lo + shift - 1 AS BIGINT) AS doc_start, CAST(lo - 1 AS BIGINT) AS item_start,
        CAST(hi - lo + 1 AS BIGINT) AS n_tokens, CAST(n_matches AS BIGINT) AS n_matches
 FROM b WHERE k = 1

@@ -21,12 +21,15 @@ def _tokens(text):
 
 
 def _plain(docs, items):
-    """Pairs of documents and items with a window that agrees but for two tokens, all alignments tried."""
+    """Pairs of documents and items with a window that agrees but for two tokens, all alignments tried; shorter items
+    stand whole and exactly."""
     found = set()
     for d, t, *_ in docs:
         x = _tokens(t)
         for item, text in items:
             y = _tokens(text)
+            if 0 < len(y) < WINDOW and any(x[i : i + len(y)] == y for i in range(len(x))):
+                found.add((d, item))
             for i in range(len(x) - WINDOW + 1):
                 for j in range(len(y) - WINDOW + 1):
                     if sum(a == b for a, b in zip(x[i : i + WINDOW], y[j : j + WINDOW])) >= WINDOW - MOST:
@@ -54,7 +57,11 @@ def test_same_pairs_as_brute_force(spark):
     got = decontaminate.overlaps(cases.documents(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     rows = got.collect()
     assert {(r.doc_id, r.item_id) for r in rows} == _plain(docs, items)
-    assert all(WINDOW - MOST <= r.n_matches <= r.n_tokens for r in rows)
+    sizes = {i: len(_tokens(t)) for i, t in items}
+    assert all(min(WINDOW - MOST, sizes[r.item_id]) <= r.n_matches <= r.n_tokens for r in rows)
+    short = [r for r in rows if sizes[r.item_id] < WINDOW]
+    texts = {d: _tokens(t) for d, t, *_ in docs}
+    assert short and all(r.n_matches == r.n_tokens == sizes[r.item_id] and texts[r.doc_id][r.doc_start : r.doc_start + r.n_tokens] == _tokens(dict(items)[r.item_id]) for r in short)
 
 
 def test_documents_with_a_passage_go(spark):
@@ -87,6 +94,8 @@ def test_odd_rows(spark):
     none = items.limit(0)
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(cases.documents(spark), items).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (None, 1)}
+    words = spark.createDataFrame([(4, "one TWO!"), (5, "two"), (6, "two one"), (7, "!?")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(cases.documents(spark), words).collect()} == {(6, 4), (6, 5), (7, 4), (7, 5)}
     assert decontaminate.overlaps(cases.documents(spark), none).count() == 0
     assert decontaminate.overlaps(cases.empty(spark), items).count() == 0
     assert decontaminate.decontaminated(cases.documents(spark), none).count() == len(cases.TEXTS)
