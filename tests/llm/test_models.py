@@ -47,6 +47,16 @@ def test_toxicity_odd_rows(spark):
             assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    """One row a doc_id, however often it repeats, and no more bytes than the bound."""
+    docs = cases.documents(spark, [(1, f"word{i} " * 20, "en", "a") for i in range(500)] + [(i, "x" * 1000, "en", "a") for i in range(3, 60)] + [(90, "y" * 50_000, "en", "a")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs, labels, 5000, 20_000).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) and 5 < len(ids) and sum(len(r.text) for r in rows) <= 20_000
+    assert toxicity._sample(docs, labels, 5000).count() == sum(zlib.crc32(str(d).encode()) % 4 != 2 for d in [1, *range(3, 60), 90])
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_id.predicted(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'")
