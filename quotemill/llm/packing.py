@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import string_blocks, written
-from .tokenization import END_ID, default_vocabulary, encoder
+from .shared import slices, written
+from .tokenization import END_ID, TEXT_BYTES, default_vocabulary, encoder
 
 PLACES = 1024
 
@@ -157,9 +157,9 @@ def _measured(docs: DataFrame, vocabulary: str, places: int) -> DataFrame:
         task, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
         short, full = np.zeros(places, np.int64), 0
         end = np.array([END_ID], "<u4").tobytes()
-        for part, texts in string_blocks(batches):
+        for part in slices(batches, limit=TEXT_BYTES):
             lengths, sums, kinds, ranks, fulls = [], [], [], [], []
-            for ids in encode(texts):
+            for ids in encode(part.column("text")):
                 ids += end
                 n = len(ids) // 4
                 cuts = np.cumsum([0, *pieces_of(n, places)]).tolist()
@@ -173,7 +173,7 @@ def _measured(docs: DataFrame, vocabulary: str, places: int) -> DataFrame:
                 full += n // places
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), pa.array([task] * len(texts), pa.int32()), pa.array(lengths, pa.int64()),
+                    part.column("doc_id"), pa.array([task] * part.num_rows, pa.int32()), pa.array(lengths, pa.int64()),
                     pa.array(kinds, pa.int32()), pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64()),
                     pa.array(sums, pa.list_(pa.int64())),
                 ],

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .shared import shared_folder, string_blocks, written
-from .tokenization import END_ID, default_vocabulary, encoder
+from .shared import shared_folder, slices, written
+from .tokenization import END_ID, TEXT_BYTES, default_vocabulary, encoder
 
 #: A block is closed at the document that brings it to so many ids.
 BLOCK_TOKENS = 1 << 20
@@ -55,8 +55,8 @@ def tokenized(docs: DataFrame, vocabulary: str, block_tokens: int = BLOCK_TOKENS
             counts += np.bincount(flat, minlength=size)
             return row(block, len(names), len(flat), names, [len(x) // 4 for x in ids], flat.astype(kind).tobytes(), None)
 
-        for part, texts in string_blocks(batches):
-            for name, x in zip(part.column("doc_id").to_pylist(), encode(texts)):
+        for part in slices(batches, limit=TEXT_BYTES):
+            for name, x in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                 ids.append(x + end)
                 names.append(name)
                 held += len(ids[-1]) // 4

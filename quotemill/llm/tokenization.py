@@ -3,15 +3,14 @@
 The vocabulary is byte-level and its pattern joins a space to the word after it and nothing to what stands
 before; a line feed before a word is a token of its own. So a text can be cut before every space and line feed
 that another sign follows, each part encoded alone, and the ids joined, with the same result as for the whole
-text. Parts repeat, so most come from a cache. The cache is bounded in bytes; when it is full, the parts that
-came only once go first. Long parts, as in texts without blanks, are never kept.
+text. Parts repeat, so most come from a cache. The cache is bounded in bytes; when it is full, the parts that the
+last texts don't hold go first. Long parts, as in texts without blanks, are never kept.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,11 @@ _CUT = re.compile(r" (?=\S)|(?=\n\S)")
 _WORD = "^\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+\\z"
 _SIGNS_AFTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Bytes of parts and their ids that a cache may hold, and what an entry takes beside them.
-CACHE_BYTES, ENTRY_BYTES = 96 << 20, 230
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 230
+#: Bytes of text that are encoded at once: parts and ids of so many are held beside the cache.
+TEXT_BYTES = 2 << 20
+#: Parts that go to the model at once, whose answer takes some hundred bytes an id.
+PARTS = 1 << 15
 #: Characters of the longest part that is kept.
 LONGEST_KEPT = 64
 
@@ -69,13 +72,12 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(vocabulary)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._lengths = _byte_lengths(self._tokenizer)
-        # the same model, fed with words in the model's spelling of bytes
-        self._words = Tokenizer.from_file(vocabulary)
+        # the same model, held once, fed with words in the model's spelling of bytes
+        self._words = Tokenizer(self._tokenizer.model)
         self._words.pre_tokenizer = CharDelimiterSplit("\n")
         self._feed = self._whole(["\n"])[0]
         self._tails: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-        self._once: set[str] = set()  # parts that no later block has asked for again
+        self._parts: dict[str, bytes] = {"": b""}
         self._held, self._room = 0, cache_bytes
         self.vocabulary_size = len(self._lengths)
 
@@ -99,6 +101,8 @@ class Encoder:
         A Latin word with or without signs after it is one or two pieces of the pattern: words go to the model
         without the pattern's search, and the ids of signs stand ready once they were met.
         """
+        if len(parts) > PARTS:
+            return pa.concat_arrays([self._learned(parts.slice(i, PARTS)) for i in range(0, len(parts), PARTS)])
         stems = pc.utf8_rtrim(parts, _SIGNS_AFTER)
         simple = pc.match_substring_regex(stems, _WORD)
         feeds = pc.starts_with(parts, "\n")
@@ -132,20 +136,18 @@ class Encoder:
             self._tails.update(zip(new, self._whole(new)))
         return pa.array([self._tails[x] for x in tails], pa.binary())
 
-    def _settle(self, need: list[str], learned: dict[str, bytes]) -> None:
-        """Keeps what a block learned; if the cache is over its bytes, what came once goes; if that isn't enough, all."""
-        self._once.difference_update(need)
-        short = {p: ids for p, ids in learned.items() if len(p) <= LONGEST_KEPT}
-        self._parts.update(short)
-        self._once.update(short)
-        self._held += _size(short)
-        if self._held > self._room:
-            for part in self._once:
-                del self._parts[part]
-            self._once = set()
-            self._held = _size(self._parts)
-            if self._held > self._room // 2:
-                self._parts, self._held = {}, 0
+    def _settle(self, parts: pa.Array, ids: pa.Array, new: pa.Array) -> None:
+        """Keeps what a block learned; if the cache is over its bytes, only what this block holds; if that isn't enough, none."""
+        short = pc.less_equal(pc.utf8_length(parts), LONGEST_KEPT)
+        fresh = pc.and_(new, short)
+        size = _size(parts.filter(fresh), ids.filter(fresh))
+        if self._held + size > self._room:
+            fresh, self._parts, self._held = short, {"": b""}, 0
+            size = _size(parts.filter(fresh), ids.filter(fresh))
+            if size > self._room // 2:
+                return
+        self._held += size
+        self._parts.update(zip(_listed(parts.filter(fresh)), _listed(ids.filter(fresh))))
 
     def _divided(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
         """The parts of each text, and the order in which the texts are told."""
@@ -160,7 +162,7 @@ class Encoder:
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text (null: of an empty one), without an end id."""
-        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        texts = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         out = [b""] * len(texts)
         special = np.zeros(len(texts), bool)
         for token in self._special:
@@ -179,17 +181,20 @@ class Encoder:
         first = np.zeros(len(every), bool)
         first[edges[:-1]] = True
         coded = pc.if_else(pa.array(first), "", every).dictionary_encode()
-        names, known = _listed(coded.dictionary), self._parts
-        new = np.array([p != "" and p not in known for p in names])
-        learned = dict(zip(compress(names, new), _listed(self._learned(coded.dictionary.filter(pa.array(new)))))) if new.any() else {}
-        table = pa.array([learned[p] if n else known.get(p, b"") for p, n in zip(names, new)] + firsts, pa.binary())
+        names = coded.dictionary
+        # null: not in the cache
+        ids = pa.array(list(map(self._parts.get, _listed(names))), pa.binary())
+        new = ids.is_null()
+        if ids.null_count:
+            ids = pc.replace_with_mask(ids, new, self._learned(names.filter(new)))
+        table = pa.concat_arrays([ids, pa.array(firsts, pa.binary())])
         numbers = coded.indices.to_numpy().copy()
         numbers[edges[:-1]] = len(names) + np.arange(len(firsts))
         stops, flat = table.take(pa.array(numbers)).buffers()[1:]
         stops = np.frombuffer(stops, np.int32)[edges].tolist()
         for i, a, b in zip(plain[order].tolist(), stops[:-1], stops[1:]):
             out[i] = flat[a:b].to_pybytes()
-        self._settle(names, learned)
+        self._settle(names, ids, new)
         return out
 
 
@@ -198,8 +203,9 @@ def _listed(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def _size(parts: dict[str, bytes]) -> int:
-    return sum(map(len, parts)) + sum(map(len, parts.values())) + ENTRY_BYTES * len(parts)
+def _size(parts: pa.Array, ids: pa.Array) -> int:
+    texts, values = (pc.sum(pc.binary_length(x)).as_py() or 0 for x in (parts, ids))
+    return texts + values + ENTRY_BYTES * len(parts)
 
 
 _encoders: dict[str, Encoder] = {}
