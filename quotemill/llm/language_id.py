@@ -242,12 +242,12 @@ def _told(batches: Iterator[pa.RecordBatch], model: Model, with_spans: bool, pen
             columns.append(pa.array(_spans(labels, first, places, model.languages), _SPANS))
         return columns
 
-    for part, texts in string_blocks(batches, limit=2 << 20):
+    for part, texts in string_blocks(batches, limit=1 << 19):
         held, stop = [], 0
         while stop < len(texts):
             # scores of some texts at a time, labels for all of them
             upto, size = stop, 0
-            while upto < len(texts) and (upto == stop or size + len(texts[upto]) < 1 << 20):
+            while upto < len(texts) and (upto == stop or size + len(texts[upto]) < 1 << 18):
                 size += len(texts[upto])
                 upto += 1
             words = words_of(texts[stop:upto])

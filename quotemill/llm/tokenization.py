@@ -3,8 +3,8 @@
 The vocabulary is byte-level and its pattern joins a space to the word after it and nothing to what stands
 before; a line feed before a word is a token of its own. So a text can be cut before every space and line feed
 that another sign follows, each part encoded alone, and the ids joined, with the same result as for the whole
-text. Parts repeat, so most come from a cache. The cache is bounded in bytes; when it is full, the parts that the
-last texts don't hold go first. Long parts, as in texts without blanks, are never kept.
+text. Parts repeat, so most come from a cache. The cache is bounded in bytes, in two halves: when the one that parts
+were last met in is full, it becomes the other, and what was in that goes. Long parts, as in texts without blanks, are never kept.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ _CUT = re.compile(r" (?=\S)|(?=\n\S)")
 #: A word of Latin letters, which is one piece of the vocabulary's pattern, and signs after it, which are one.
 _WORD = "^\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+\\z"
 _SIGNS_AFTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Bytes of parts and their ids that a cache may hold, and what an entry takes beside them.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 230
+#: Bytes of parts and their ids that a cache may hold, and what an entry takes beside them in Python.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 150
 #: Bytes of text that are encoded at once: parts and ids of so many are held beside the cache.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 3 << 20
 #: Parts that go to the model at once, whose answer takes some hundred bytes an id.
-PARTS = 1 << 15
+PARTS = 1 << 16
 #: Characters of the longest part that is kept.
 LONGEST_KEPT = 64
 
@@ -78,6 +78,7 @@ class Encoder:
         self._feed = self._whole(["\n"])[0]
         self._tails: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {"": b""}
+        self._earlier: dict[str, bytes] = {}
         self._held, self._room = 0, cache_bytes
         self.vocabulary_size = len(self._lengths)
 
@@ -136,18 +137,30 @@ class Encoder:
             self._tails.update(zip(new, self._whole(new)))
         return pa.array([self._tails[x] for x in tails], pa.binary())
 
-    def _settle(self, parts: pa.Array, ids: pa.Array, new: pa.Array) -> None:
-        """Keeps what a block learned; if the cache is over its bytes, only what this block holds; if that isn't enough, none."""
+    def _found(self, parts: pa.Array) -> pa.Array:
+        """The ids of different parts, from the cache or else the model."""
+        ids = pa.array(list(map(self._parts.get, _listed(parts))), pa.binary())
+        if not ids.null_count:
+            return ids
+        away = ids.is_null()
+        parts = parts.filter(away)
+        others = pa.array(list(map(self._earlier.get, _listed(parts))), pa.binary())
+        if others.null_count:
+            new = others.is_null()
+            others = pc.replace_with_mask(others, new, self._learned(parts.filter(new)))
+        self._keep(parts, others)
+        return pc.replace_with_mask(ids, away, others)
+
+    def _keep(self, parts: pa.Array, ids: pa.Array) -> None:
         short = pc.less_equal(pc.utf8_length(parts), LONGEST_KEPT)
-        fresh = pc.and_(new, short)
-        size = _size(parts.filter(fresh), ids.filter(fresh))
-        if self._held + size > self._room:
-            fresh, self._parts, self._held = short, {"": b""}, 0
-            size = _size(parts.filter(fresh), ids.filter(fresh))
-            if size > self._room // 2:
-                return
-        self._held += size
-        self._parts.update(zip(_listed(parts.filter(fresh)), _listed(ids.filter(fresh))))
+        parts, ids = parts.filter(short), ids.filter(short)
+        texts, values = (pc.sum(pc.binary_length(x)).as_py() or 0 for x in (parts, ids))
+        size = texts + values + ENTRY_BYTES * len(parts)
+        if self._held + size > self._room // 2:
+            self._earlier, self._parts, self._held = self._parts, {"": b""}, 0
+        if size <= self._room // 2:
+            self._held += size
+            self._parts.update(zip(_listed(parts), _listed(ids)))
 
     def _divided(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
         """The parts of each text, and the order in which the texts are told."""
@@ -182,19 +195,13 @@ class Encoder:
         first[edges[:-1]] = True
         coded = pc.if_else(pa.array(first), "", every).dictionary_encode()
         names = coded.dictionary
-        # null: not in the cache
-        ids = pa.array(list(map(self._parts.get, _listed(names))), pa.binary())
-        new = ids.is_null()
-        if ids.null_count:
-            ids = pc.replace_with_mask(ids, new, self._learned(names.filter(new)))
-        table = pa.concat_arrays([ids, pa.array(firsts, pa.binary())])
+        table = pa.concat_arrays([self._found(names), pa.array(firsts, pa.binary())])
         numbers = coded.indices.to_numpy().copy()
         numbers[edges[:-1]] = len(names) + np.arange(len(firsts))
         stops, flat = table.take(pa.array(numbers)).buffers()[1:]
         stops = np.frombuffer(stops, np.int32)[edges].tolist()
         for i, a, b in zip(plain[order].tolist(), stops[:-1], stops[1:]):
             out[i] = flat[a:b].to_pybytes()
-        self._settle(names, ids, new)
         return out
 
 
@@ -203,11 +210,6 @@ def _listed(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def _size(parts: pa.Array, ids: pa.Array) -> int:
-    texts, values = (pc.sum(pc.binary_length(x)).as_py() or 0 for x in (parts, ids))
-    return texts + values + ENTRY_BYTES * len(parts)
-
-
 _encoders: dict[str, Encoder] = {}
 
 
