@@ -133,3 +133,9 @@ def test_odd_rows(spark, trees):
     docs = cases.documents(spark, [(1, "x@y.zz " * 3, "en", "a")] * 40 + [(2, "nothing 12 here", "en", "a")])
     rows = pii.found(docs, pii.fit(docs)).collect()
     assert len(rows) == 41 and {r.n_email for r in rows} == {0, 3}
+
+
+def test_every_candidate_of_every_row_teaches(spark):
+    docs = cases.documents(spark, [(i, "12345678901234 " + " x ".join(f"10.0.0.{j}" for j in range(90)), "en", "a") for i in range(3)])
+    # more candidates than 64 in a text, and equal texts count each
+    assert pii._lessons(docs).agg({"true": "sum"}).first()[0] >= 3 * 90
