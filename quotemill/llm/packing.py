@@ -149,7 +149,13 @@ def plan(counts: np.ndarray, places: int = PLACES) -> _Plan:
 
 
 def _measured(docs: DataFrame, vocabulary: str, places: int) -> DataFrame:
-    """A row a document: its length, its pieces' checksums, and its place among those of its task."""
+    """A row a document: its length, its pieces' checksums, and its place among those of its task. And a row a task,
+    which alone has counts: of its short pieces by length, and at 0 of its full ones."""
+
+    types = {
+        "doc_id": pa.int64(), "task": pa.int32(), "n": pa.int64(), "kind": pa.int32(), "rank": pa.int64(),
+        "full_rank": pa.int64(), "crcs": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()),
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,39 +181,40 @@ def _measured(docs: DataFrame, vocabulary: str, places: int) -> DataFrame:
                 [
                     part.column("doc_id"), pa.array([task] * part.num_rows, pa.int32()), pa.array(lengths, pa.int64()),
                     pa.array(kinds, pa.int32()), pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64()),
-                    pa.array(sums, pa.list_(pa.int64())),
+                    pa.array(sums, pa.list_(pa.int64())), pa.nulls(part.num_rows, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "task", "n", "kind", "rank", "full_rank", "crcs"],
+                [*types],
             )
+        if short.any():
+            short[0] = full
+            own = {"task": [task], "counts": [short.tolist()]}
+            yield pa.RecordBatch.from_arrays([pa.array(own.get(c, [None]), t) for c, t in types.items()], [*types])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(
-        run, "doc_id long, task int, n long, kind int, rank long, full_rank long, crcs array<long>"
+        run, "doc_id long, task int, n long, kind int, rank long, full_rank long, crcs array<long>, counts array<long>"
     )
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, places: int = PLACES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     measured = written(_measured(docs, vocabulary or default_vocabulary(), places), "lengths")
-    # ranks in all tasks: the counts of the tasks before, one row a task and length
-    by_task = measured.groupBy("task", "kind").agg(
-        F.count("*").alias("n_kind"), F.sum(F.floor(F.col("n") / places).cast("long")).alias("n_full")
-    )
-    by_task = written(by_task, "counts")
+    documents, tasks = measured.where("counts IS NULL"), measured.where("counts IS NOT NULL")
+    counts = tasks.select("task", F.posexplode("counts").alias("kind", "n"))
     totals = np.zeros(places, np.int64)
-    for row in by_task.groupBy("kind").agg(F.sum("n_kind").alias("n")).collect():  # a row a length at most
+    for row in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect():  # a row a length at most
         totals[row.kind] = row.n
-    totals[0] = 0
+    totals[0] = 0  # full pieces need no plan
     runs = plan(totals, places)
+    # ranks in all tasks: the counts of the tasks before, in one row a task. Rows of a task stay together, so the pieces
+    # stand in no more files than the documents, whatever the number of shuffle partitions
     earlier = Window.partitionBy("kind").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = by_task.select("task", "kind", F.coalesce(F.sum("n_kind").over(earlier), F.lit(0)).alias("kind_base"))
-    tasks = by_task.groupBy("task").agg(F.sum("n_full").alias("n_full"))
-    so_far = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    tasks = tasks.select("task", F.coalesce(F.sum("n_full").over(so_far), F.lit(0)).alias("full_base"))
-    ranked = measured.join(kinds, ["task", "kind"]).join(tasks, "task").select(
+    before = counts.select("task", F.struct("kind", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")).alias("x"))
+    before = before.groupBy("task").agg(F.sort_array(F.collect_list("x"))["base"].alias("bases"))
+    ranked = documents.join(before, "task").select(
         "doc_id", "n", "kind", "crcs",
-        (F.col("kind_base") + F.col("rank")).alias("rank"),
-        (F.col("full_base") + F.col("full_rank")).alias("full_rank"),
+        (F.get("bases", F.col("kind")) + F.col("rank")).alias("rank"),
+        (F.get("bases", F.lit(0)) + F.col("full_rank")).alias("full_rank"),
     )
     table = np.array(sorted(runs.runs), np.int64).reshape(-1, 5)
     sequences = runs.sequences

@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quotemill.llm import packing, rans, token_counts, token_output
+from quotemill.llm.shared import shared_folder
 from quotemill.llm.tokenization import Encoder, encoder
 
 from . import cases
@@ -141,6 +143,25 @@ def test_packing_small_sequences(spark, whole):
     assert n <= 1.02 * -(-sum(r.length for r in rows) // 32) + 1
 
 
+def test_packing_writes_no_more_files_than_tasks_that_encode(spark, whole, tmp_path):
+    """Hadoop starts processes for each file, and each counts with an executor's memory until it is loaded."""
+    texts = [(i, " ".join(["word"] * (i % 97)), "en", "a") for i in range(300)] + [(300, "word " * 5000, "en", "a")]
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    there = {k: spark.conf.get(k) for k in held}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {*folder.rglob("part-*")}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        packing.packed(cases.documents(spark, texts).repartition(3)).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in there.items():
+            spark.conf.set(k, v)
+    _check_packed(spark.read.parquet(str(tmp_path / "out")).collect(), texts, whole, 1024)
+    assert len({*folder.rglob("part-*")} - before) <= 3
+    assert len([*(tmp_path / "out").glob("part-*")]) <= 3 + 1  # Spark's first task writes one without rows too
+
+
 def test_plan_uses_up_counts_and_fills_exactly():
     counts = np.zeros(100, np.int64)
     counts[[60, 25, 15, 40, 50]] = 10, 10, 10, 5, 4
