@@ -14,39 +14,46 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quotemill.llm import decontaminate, language_id, line_dedup, minhash, packing
-from quotemill.llm.shared import shared_folder, ship
+from quotemill.llm.shared import shared_folder, ship, small_batches
+
+
+def _ready(spark: SparkSession) -> None:
+    """Stages follow each other on the same executors, whose JVM and Python workers keep what earlier ones took; so rows
+    go from one to the other in small batches."""
+    ship(spark)
+    small_batches(spark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: null and empty texts and those without letters too. Rows are judged
     one by one, whatever their doc_id."""
-    ship(spark)
+    _ready(spark)
     return language_id.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand on many sources go, but for their first copies; documents of nothing else go. Null and empty
     texts stay; a null source is none; a row without doc_id is never the first copy."""
-    ship(spark)
+    _ready(spark)
     return line_dedup.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays, that of the least doc_id. Null and empty texts are like
     none and stay, as do rows without doc_id; rows with one doc_id are one document and stay or go together."""
-    ship(spark)
+    _ready(spark)
     return minhash.deduplicated(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go. Null and empty texts hold none; rows are judged one by one."""
-    ship(spark)
+    _ready(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents left, in sequences of 1024 places. Null and empty texts are an end id alone; each row is packed."""
-    ship(spark)
+    _ready(spark)
     return packing.packed(docs)
 
 

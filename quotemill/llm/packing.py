@@ -25,6 +25,8 @@ from .shared import slices, written
 from .tokenization import END_ID, TEXT_BYTES, default_vocabulary, encoder
 
 PLACES = 1024
+#: Bytes of text that are encoded at once: only lengths and checksums are kept of them, so few are enough.
+SLICE_BYTES = TEXT_BYTES // 2
 
 
 def pieces_of(n: int, places: int = PLACES) -> list[int]:
@@ -163,7 +165,7 @@ def _measured(docs: DataFrame, vocabulary: str, places: int) -> DataFrame:
         task, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
         short, full = np.zeros(places, np.int64), 0
         end = np.array([END_ID], "<u4").tobytes()
-        for part in slices(batches, limit=TEXT_BYTES):
+        for part in slices(batches, limit=SLICE_BYTES):
             lengths, sums, kinds, ranks, fulls = [], [], [], [], []
             for ids in encode(part.column("text")):
                 ids += end

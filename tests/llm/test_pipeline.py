@@ -1,10 +1,11 @@
 """The pipeline stage by stage, and the corpus queries against their SQL."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quotemill.llm import decontaminate, language_id, line_dedup, minhash, queries
+from quotemill.llm import decontaminate, language_id, line_dedup, minhash, packing, queries
 
 from . import cases
 
@@ -75,3 +76,28 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(columns) == names
     rows = sorted(repr([r[columns.index(c)] for c in names]) for r in want.fetchall())
     assert sorted(repr([r[c] for c in names]) for r in got.collect()) == rows
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_send_small_batches(spark, name, stage):
+    session = spark.newSession()
+    stage(session, cases.empty(session), SF)
+    docs = session.range(0, 4000, 1, 1).selectExpr("id", "repeat('words and more ', 400) AS text")  # 24 MB in one task
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = docs.mapInArrow(size, "rows long, bytes long").collect()
+    assert sum(r.rows for r in found) == 4000
+    assert max(r.bytes for r in found) < 4 << 20
+
+
+def test_a_row_over_the_limit_passes_whole(spark):
+    session = spark.newSession()
+    text = "words and more " * 300_000  # 4.5 MB
+    docs = session.createDataFrame([(1, "few words"), (2, text), (3, None)], "doc_id long, text string").coalesce(1)
+    rows = corpus_pipeline.sequences(session, docs, SF).collect()
+    plain = packing.packed(spark.createDataFrame(docs.collect(), docs.schema)).collect()
+    told = [sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in x) for x in (rows, plain)]
+    assert told[0] == told[1] and {r.doc_id for r in rows} == {1, 2, 3}
