@@ -54,7 +54,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents left, in sequences of 1024 places. Null and empty texts are an end id alone; each row is packed."""
     _ready(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, at_once=packing.FEW_BYTES)
 
 
 STAGES = [
