@@ -31,3 +31,25 @@ def test_odd_endings_are_taken_as_before(spark):
     got = df.select("i", part_numbers.without_quantity(F.col("t")).alias("q"), part_numbers.without_packaging(F.col("t")).alias("p"))
     want = df.select("i", many(F.col("t"), part_numbers._without_quantity, 12).alias("q"), many(F.col("t"), part_numbers._without_suffix, 12).alias("p"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dead_parts_look_for_live_ones_at_their_place(spark, monkeypatch):
+    """Parts of a spec's value live and die together; the dead met every block, as their own ones had no good stand-in."""
+    from quotemill.operators import alternates
+
+    monkeypatch.setattr(alternates, "BLOCK", 64)
+    rng = random.Random(3)
+    schema = "category string, mpn string, manufacturer string, lifecycle_status string, authorized_stock long, specs map<string,double>"
+    parts = [("c", f"P{i:05d}", f"m{i % 5}", "Obsolete" if i % 50 % 8 < 2 else "Active", 0 if i % 50 % 8 < 2 else 5, {"size": float(i % 50), "weight": rng.random()}) for i in range(6000)]
+    frame, met, real = spark.createDataFrame(parts, schema), [], alternates._met
+
+    def counted(*args):
+        met.append(real(*args))
+        return met[-1]
+
+    monkeypatch.setattr(alternates, "_met", counted)
+    dead = frame.where("lifecycle_status = 'Obsolete' AND mpn < 'P01000'")
+    found = alternates.alternates(frame, dead).collect()
+    assert len(found) == 5 * dead.count() and all(r.lifecycle_status == "Active" for r in found)
+    groups = met[0].select("group").distinct().count()
+    assert met[0].count() < 0.25 * groups * 6000 / 64
