@@ -53,3 +53,18 @@ def test_dead_parts_look_for_live_ones_at_their_place(spark, monkeypatch):
     assert len(found) == 5 * dead.count() and all(r.lifecycle_status == "Active" for r in found)
     groups = met[0].select("group").distinct().count()
     assert met[0].count() < 0.25 * groups * 6000 / 64
+
+
+def test_letters_of_any_column_as_in_sql(spark):
+    """The first of them was taken modulo 256 from 130,000 on."""
+    import duckdb
+
+    from quotemill.functions import units
+
+    at = [0, 25, 26, 701, 702, 18277, 18278, 60000, 129817, 129818, 130000, 146718, 250000, 1199999, 3000000]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT unnest({at}) AS p_partkey")
+    want = con.execute(registry.oracle_sql()["sheet_letters"]).fetchall()
+    rows = spark.createDataFrame([(i,) for i in at], "p_partkey long")
+    got = rows.select("p_partkey", units.column_letter(F.col("p_partkey").cast("int")).alias("letters")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
