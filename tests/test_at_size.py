@@ -68,3 +68,24 @@ def test_letters_of_any_column_as_in_sql(spark):
     rows = spark.createDataFrame([(i,) for i in at], "p_partkey long")
     got = rows.select("p_partkey", units.column_letter(F.col("p_partkey").cast("int")).alias("letters")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_no_catalog_is_broadcast(spark):
+    """By the bytes of their files catalog and inputs were small enough to go through the driver."""
+    inputs, catalog = matching.read(tables.requests(spark, SF)), matching.keyed(tables.catalog(spark, SF))
+    for tier in (matching.exact, matching.variant, matching.base_part):
+        assert "BroadcastHashJoin" not in tier(inputs, catalog)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alike_keys_meet_without_a_join_on_pairs_of_signs(spark):
+    """Dense numbers share pairs of signs: an index of them met more rows than there are pairs of keys."""
+    rng = random.Random(8)
+    word = lambda: "LAR" + str(rng.randrange(10000, 99999)) + "C7"
+    keys, asked = sorted({word() for _ in range(400)}), sorted({word() + "X9" for _ in range(40)})
+    found = matching.alike(spark.createDataFrame([(q,) for q in asked], "query string"), spark.createDataFrame([(k,) for k in keys], "part_key string"), 3)
+    assert "Join" not in _plan(found)
+    want = set()
+    for q in asked:
+        best = sorted((-similarity.score(q, k), k) for k in keys)
+        want |= {(q, -s, k) for s, k in best[:3] if -s >= matching.FUZZY_LEAST}
+    assert want <= {(r.query, r.score, r.part_key) for r in found.collect()}
